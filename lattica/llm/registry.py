@@ -6,7 +6,9 @@ import importlib
 
 #: name -> module, function, name of the SQL or None
 _OPS = {
+    "op1_toxicity": ("toxicity", "op1_toxicity", None),
     "op4_quality": ("quality", "op4_quality", "OP4_SQL"),
+    "op10_language": ("language", "op10_language", None),
 }
 
 
