@@ -7,7 +7,9 @@ import importlib
 #: name -> module, function, name of the SQL or None
 _OPS = {
     "op1_toxicity": ("toxicity", "op1_toxicity", None),
+    "op3_secrets": ("secrets", "op3_secrets", None),
     "op4_quality": ("quality", "op4_quality", "OP4_SQL"),
+    "op5_mixing": ("mixing", "op5_mixing", None),
     "op10_language": ("language", "op10_language", None),
 }
 
