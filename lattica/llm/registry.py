@@ -10,6 +10,8 @@ _OPS = {
     "op3_secrets": ("secrets", "op3_secrets", None),
     "op4_quality": ("quality", "op4_quality", "OP4_SQL"),
     "op5_mixing": ("mixing", "op5_mixing", None),
+    "op6_decontamination": ("decontamination", "op6_decontamination", None),
+    "op7_tokens": ("tokenization", "op7_tokens", None),
     "op10_language": ("language", "op10_language", None),
 }
 
