@@ -69,6 +69,16 @@ def _clean() -> None:
             return
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without columns that an operator is about to add."""
+    return docs.drop(*[c for c in docs.columns if c in names])
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The whole row as ``__doc`` beside the columns an operator reads, so that no name clashes."""
+    return docs.select(F.struct(*docs.columns).alias("__doc"), *columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -99,12 +99,12 @@ def fit_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", dim:
 
 
 def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dim: int = DIM) -> DataFrame:
-    """``docs`` without the text, with ``lang_pred`` and ``score`` (cosine, at least 0)."""
+    """``docs`` without the text and with, in place of columns so named, ``lang_pred`` and ``score`` (cosine, at least 0)."""
     from pyspark.sql import types as T
 
     names = list(prototypes)
     m = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-12) for x in names]).reshape(len(names), dim)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, *("lang_pred", "score"))]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches) -> Iterator:

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, table, words
+from lattica.llm.common import materialize, table, without, words
 
 CELLS = 4096
 PER = 16
@@ -110,7 +110,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     ``draws`` has one struct (epoch, shard, place) for each time the mix takes
     the document; it is empty for those left out. ``shards`` is a power of two.
+    Columns of ``docs`` that are named as those added are replaced.
     """
+    docs = without(docs, "size", "source_size", "target", "draws")
     levels = shards.bit_length() - 1
     size = F.size(words(F.col(text))).cast("long")
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(source), F.length(F.coalesce(F.col(text), F.lit(""))))

@@ -23,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, WS, table, words
+from lattica.llm.common import WORD, WS, materialize, table, without, words
 
 #: Host rows up to which the boilerplate lists are broadcast; see line_limits().
 MAX_BROADCAST_LINES = 200_000
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _lines(text: Column) -> Column:
@@ -87,9 +88,11 @@ def line_limits(docs: DataFrame, host: str, text: str, min_line_docs: int, max_l
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 20, max_repeat_pct: int = 30, min_line_docs: int = 20, max_line_share: float = 0.1, min_left: float = 0.5, window: int = 8) -> DataFrame:
-    """``docs`` with the features, ``removed_words``, ``base_failed``, ``kept``."""
-    from lattica.llm.common import materialize
+    """``docs`` with the features, ``removed_words``, ``base_failed``, ``kept``.
 
+    Columns of ``docs`` that are so named are replaced.
+    """
+    docs = without(docs, *FEATURES, "removed_words", "base_failed", "kept")
     f = text_features(docs.withColumn("__lines", F.transform(_lines(F.col(text)), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), x.alias("x")))), text, window)
     bad = materialize(line_limits(docs, host, text, min_line_docs, max_line_share), "lines")
     size = bad.agg(F.coalesce(F.sum(F.size("__bad")), F.lit(0))).first()[0]

@@ -140,9 +140,10 @@ def thresholds(runs: DataFrame, fdr: float = 0.05) -> list[int]:
 def scan_secrets(docs: DataFrame, text: str = "text", fdr: float = 0.05, alpha: float = 0.001) -> DataFrame:
     """``docs`` without the text, with ``spans``: array of (s, kind number, e, kind).
 
-    Random runs that overlap a base span aren't added.
+    Columns of ``docs`` named base_spans or spans are replaced. Random runs that
+    overlap a base span aren't added.
     """
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "base_spans", "spans")]
     d = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     d = _find(d, "__text", ASSIGN, "__assign", group=2, least=12)
     d = _find(d, "__text", ACCESS, "__access")

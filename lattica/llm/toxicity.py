@@ -219,10 +219,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", label:
 
 
 def toxicity(docs: DataFrame, learnt: dict[str, float], text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the text, with score, predicted and n_clauses."""
+    """``docs`` without the text and with, in place of columns so named, score, predicted and n_clauses."""
     from pyspark.sql import types as T
 
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, *("score", "predicted", "n_clauses"))]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_clauses", T.LongType())])
 
     def score(batches) -> Iterator:
