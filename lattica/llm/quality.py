@@ -103,7 +103,10 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (left < min_words) | (left < min_left * F.col("n_words"))
-    return j.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("__lines", "__host", "__bad", "__hit")
+    # Not deterministic to the optimizer: else a filter on ``kept`` would be moved
+    # below and drag copies of all the array expressions with it.
+    fence = F.monotonically_increasing_id() >= 0
+    return j.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted & fence).drop("__lines", "__host", "__bad", "__hit")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
