@@ -12,6 +12,7 @@ _OPS = {
     "op5_mixing": ("mixing", "op5_mixing", None),
     "op6_decontamination": ("decontamination", "op6_decontamination", None),
     "op7_tokens": ("tokenization", "op7_tokens", None),
+    "op8_substrings": ("substrings", "op8_substrings", None),
     "op9_jaccard": ("jaccard", "op9_jaccard", None),
     "op10_language": ("language", "op10_language", None),
 }
