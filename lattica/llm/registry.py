@@ -7,6 +7,7 @@ import importlib
 #: name -> module, function, name of the SQL or None
 _OPS = {
     "op1_toxicity": ("toxicity", "op1_toxicity", None),
+    "op2_lm": ("attention", "op2_lm", None),
     "op3_secrets": ("secrets", "op3_secrets", None),
     "op4_quality": ("quality", "op4_quality", "OP4_SQL"),
     "op5_mixing": ("mixing", "op5_mixing", None),
