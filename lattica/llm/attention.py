@@ -215,6 +215,7 @@ class Model:
         c = self.cls[ids]
         before = np.concatenate([[self.cls[END]], c[:-1]])
         size = np.diff(at)
+        before[at[:-1][size > 0]] = self.cls[END]
         per = -(-size // SCORED)
         first = np.repeat(at[:-1], per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * SCORED
         start, end = np.repeat(at[:-1], per), np.repeat(at[1:], per)
@@ -295,7 +296,7 @@ class Model:
             out[z[rows]] = own - total
             begin[z[rows]] = np.log((o @ self.begins)[rows]) - total
         before = np.concatenate([[END], ids[:-1]]).astype(np.int64)
-        before[at[:-1]] = END
+        before[at[:-1][np.diff(at) > 0]] = END
         key = (before << 16) | ids
         n = np.zeros(len(ids), np.float32)
         if len(self.keys):
