@@ -3,8 +3,8 @@
 Texts and items are compared with A-Z lower-cased and white space as one blank.
 
 1. An item gives windows that start at its rarest-looking (longest) words in its
-   first part and run to a length of a geometric series near the item's end. A
-   word of under ``LONG`` characters counts with the word after it. A document
+   first part and run to a length of a geometric series near the item's end, or
+   near a third of the way there. A word of under ``LONG`` characters counts with the word after it. A document
    gives a window of that length wherever it has such a word or pair.
 2. CGK: a random walk reads a window and moves on, or not, as a random function
    of step and character says. Two windows at a small edit distance give strings
@@ -139,9 +139,11 @@ class Index:
             pair = lambda j: (ws[j], "" if len(ws[j]) >= LONG else ws[j + 1] if j + 1 < len(ws) else "")  # noqa: B023, E731
             first = [j for j in range(len(ws)) if at[j] <= len(s) * 0.6]
             for j in sorted(first, key=lambda j: (-len("".join(pair(j))), j))[:ANCHORS]:
-                width = max((c for c in CLASSES if c <= len(s) - at[j]), default=CLASSES[0])
-                self.anchors.setdefault(pair(j), set()).add(width)
-                found.setdefault(width, []).append((k, int(at[j]), _windows(_codes(s), np.array([at[j]]), width)[0]))
+                # The long window says most; a short one has fewer of the edits.
+                left = len(s) - at[j]
+                for width in {max((c for c in CLASSES if c <= x), default=CLASSES[0]) for x in (left, max(18, left // 3))}:
+                    self.anchors.setdefault(pair(j), set()).add(width)
+                    found.setdefault(width, []).append((k, int(at[j]), _windows(_codes(s), np.array([at[j]]), width)[0]))
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for width, rows in found.items():
             w = self.walks[width] = Walks(width)
