@@ -30,7 +30,9 @@ each. Without training documents the counts are 0 and smoothing is all.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,6 +58,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_TOKENIZERS: dict[str, tuple] = {}
+
+
+def _tokenizer(path: str) -> tuple:
+    """This process's tokenizer and cache of words; they serve all tasks of the worker."""
+    if path not in _TOKENIZERS:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        _TOKENIZERS[path] = (tok, {})
+    return _TOKENIZERS[path]
+
+
 def encode_table(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with, in place of the text, ``ids``: 16-bit ids, the end id last."""
     from pyspark.sql import types as T
@@ -65,29 +84,22 @@ def encode_table(docs: DataFrame, text: str = "text", path: str | None = None) -
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("ids", T.BinaryType())])
 
     def part(batches) -> Iterator:
-        import os
-
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        cache: dict[str, np.ndarray] = {}
+        tok, cache = _tokenizer(path)
         for batch in batches:
             for b in text_chunks(batch, text):
                 codes, offsets, vocab = lower_words(b.column(text))
                 words = vocab.to_pylist()
                 new = [w for w in words if w not in cache]
-                if len(cache) + len(new) > 400_000:
+                if len(cache) + len(new) > 900_000:
                     cache.clear()
                     new = words
                 for a in range(0, len(new), 20_000):
-                    cache.update((w, np.array(e.ids, np.uint16)) for w, e in zip(new[a : a + 20_000], tok.encode_batch_fast([" " + w for w in new[a : a + 20_000]], add_special_tokens=False)))
+                    cache.update((w, array("H", e.ids).tobytes()) for w, e in zip(new[a : a + 20_000], tok.encode_batch_fast([" " + w for w in new[a : a + 20_000]], add_special_tokens=False)))
                 parts = [cache[w] for w in words]
-                size = np.array([len(p) for p in parts], np.int64)
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+                size = np.array([len(p) for p in parts], np.int64) // 2
+                flat = np.frombuffer(b"".join(parts), np.uint16)
                 n = size[codes]
                 at = np.cumsum(n) - n
                 ids = flat[np.repeat((np.cumsum(size) - size)[codes] - at, n) + np.arange(n.sum())]
@@ -98,6 +110,7 @@ def encode_table(docs: DataFrame, text: str = "text", path: str | None = None) -
     return docs.mapInArrow(part, schema)
 
 
+@lru_cache(maxsize=4)
 def word_starts(path: str) -> np.ndarray:
     """Which ids begin a word (their string begins with the blank's letter)."""
     from tokenizers import Tokenizer

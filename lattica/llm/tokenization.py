@@ -25,6 +25,7 @@ ordered by text. A null id sorts first.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\pL+| ?\pN+| ?[^\s\pL\pN]+|\s+"
 #: Texts with two white-space characters in a row, with one that isn't ASCII,
 #: with a NUL or with a special token's opening are encoded whole.
 WHOLE = r"\s\s|[\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
-CACHE = 400_000
+CACHE = 900_000
 SEQ_LEN = 1024
 
 
@@ -58,12 +59,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.cache: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         cache = self.cache
         new = [p for p in pieces if p not in cache]
         if len(cache) + len(new) > CACHE:
@@ -86,8 +88,8 @@ class Encoder:
         d = lists.flatten().dictionary_encode()
         codes = d.indices.to_numpy(zero_copy_only=False)
         parts = self._pieces(d.dictionary.to_pylist()) if len(d.dictionary) else []
-        size = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        size = np.array([len(p) for p in parts], np.int64) // 4
+        flat = np.frombuffer(b"".join(parts), np.uint32)
         first = np.cumsum(size) - size
         n = size[codes]
         at = np.cumsum(n) - n
@@ -99,12 +101,22 @@ class Encoder:
             long = self._ids(t.take(pa.array(rows)).to_pylist())
             out = np.split(ids, np.cumsum(lengths)[:-1])
             for r, x in zip(rows.tolist(), long):
-                out[r] = x
-            lengths[rows] = [len(x) for x in long]
+                out[r] = np.frombuffer(x, np.uint32)
+            lengths[rows] = [len(x) // 4 for x in long]
             ids = np.concatenate(out)
         return ids, lengths
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder; its cache serves all tasks of the worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class _File:
     """Writes sequences to one Arrow file in the shared folder."""
 
@@ -167,15 +179,13 @@ def write_sequences(docs: DataFrame, out: str, tokenizer: str | None = None, tex
     def write(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         part = TaskContext.get().partitionId()
-        wide = Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16
-        encoder, file, tokens, n = Encoder(tokenizer), None, 0, 0
+        encoder, file, tokens, n = encoder_of(tokenizer), None, 0, 0
         name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.arrow"
         for batch in batches:
             for b in text_chunks(batch, "t"):
-                file = file or _File(out, name, seq_len, wide)
+                file = file or _File(out, name, seq_len, encoder.wide)
                 ids, lengths = encoder.encode(b.column("t"))
                 ends = np.cumsum(lengths + 1)
                 file.add(np.insert(ids, np.cumsum(lengths), end_id), b.column("k").to_pylist(), ends)
