@@ -259,7 +259,8 @@ def encode_and_read_back(docs: DataFrame, text: str = "text", key: str = "doc_id
     # One row a file: where each begins.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("path", "start")
-    return read_sequences(spark, files.repartition("path"), uri)
+    # A number of its own, else the few small rows would be merged into one task.
+    return read_sequences(spark, files.repartition(max(1, files.count()), "path"), uri)
 
 
 def op7_tokens(spark, sf_dir: str) -> DataFrame:
