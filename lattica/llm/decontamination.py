@@ -2,17 +2,18 @@
 
 Texts and items are compared with A-Z lower-cased and white space as one blank.
 
-1. An item gives windows that start at its rarest-looking (longest) words in its
-   first part and run to a length of a geometric series near the item's end, or
-   near a third of the way there. A word of under ``LONG`` characters counts with the word after it. A document
-   gives a window of that length wherever it has such a word or pair.
+1. An item gives a window at every character, a document at every ``stride``
+   characters, of a width by the item's length class (``CLASSES``). Whatever
+   place a leak has, each document window inside it has its fellow in the item,
+   so no word has to stay whole and nothing hangs on where words begin.
 2. CGK: a random walk reads a window and moves on, or not, as a random function
    of step and character says. Two windows at a small edit distance give strings
    at a small Hamming distance.
-3. LSH: tables of sampled places of several walks. Windows that agree in a table
-   are candidates. With ``WALKS * TABLES`` tables of ``PLACES`` places, windows
-   that differ in a share d of the places meet with 1-(1-(1-d)^PLACES)^tables;
-   the defaults give 0.99 for d = 0.2, and an item has several windows.
+3. LSH: ``WALKS * TABLES`` tables of sampled places of the walks. Windows that
+   agree in a table are a hit; hits of an item that lie within ``max_edits`` of
+   its length of each other (as shifts against the document) are a candidate,
+   from as many hits on as the class asks for. An item has many windows, of
+   which some have few edits.
 4. The edit distance between the whole item and its best place in the document
    around the candidate is computed exactly (bit-parallel); up to
    ``max_edits`` of the item's length counts as a leak.
@@ -33,13 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import lower_words, table, text_chunks
+from lattica.llm.common import table, text_chunks
 
-BLOCK_CHARS = 8_000_000
-ANCHORS = 8
-LONG = 8
-WALKS, TABLES, PLACES = 2, 8, 6
-CLASSES = [8, 12, 18, 27, 40, 60, 90, 135, 202, 303, 455, 683, 1024]
+#: A character of an item costs about 200 bytes of tables.
+BLOCK_CHARS = 1_000_000
+MIN_CHARS = 8
+WALKS, TABLES = 2, 8
+#: Least item length -> width of the windows, stride in documents, places of a table, hits of a candidate.
+CLASSES = {8: (8, 1, 5, 1), 32: (16, 4, 8, 1), 80: (32, 4, 11, 3)}
+#: Windows whose walks are taken at a time.
+STEP = 1 << 15
 MAX_EDITS = 0.2
 
 
@@ -82,146 +86,138 @@ def fitting_distance(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Walks:
-    """CGK walks and sampled places for one window length."""
+    """CGK walks and sampled places for one window width."""
 
-    def __init__(self, width: int, seed: int = 5) -> None:
+    def __init__(self, width: int, places: int, seed: int = 5) -> None:
         rng = np.random.default_rng((seed, width))
-        self.width, self.steps = width, 3 * width
-        self.move = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.int32)
-        # Beyond about twice the width most walks have reached the end.
-        self.places = rng.integers(0, 2 * width, (WALKS, TABLES, PLACES))
-        self.mix = rng.integers(1, 1 << 62, PLACES, dtype=np.uint64) | np.uint64(1)
-
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """windows: uint8 [n, width], 0 behind the text's end -> uint64 [n, WALKS * TABLES]."""
-        n = len(windows)
-        padded = np.concatenate([windows, np.zeros((n, 1), np.uint8)], axis=1)
-        out = np.empty((n, WALKS * TABLES), np.uint64)
-        rows = np.arange(n)
+        # A walk moves on at every other step in the mean.
+        self.width, self.steps = width, width * 7 // 4
+        self.move = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.intp)
+        # Spread over the walk, one place in each part of it.
+        cuts = np.linspace(0, self.steps, places + 1).astype(int)
+        self.places = rng.integers(cuts[:-1], cuts[1:], (WALKS, TABLES, places))
+        self.mix = rng.integers(1, 1 << 62, places, dtype=np.uint64) | np.uint64(1)
+
+    def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Windows of ``codes`` (uint8, ``steps`` zeros behind) -> uint64 [WALKS * TABLES, n]."""
+        n = len(starts)
+        out = np.empty((WALKS * TABLES, n), np.uint64)
+        read = np.empty((self.steps, n), np.uint8)
         for w in range(WALKS):
-            last = int(self.places[w].max()) + 1
-            read, at = np.empty((n, last), np.uint8), np.zeros(n, np.int32)
-            for t in range(last):
-                c = padded[rows, at]
-                read[:, t] = c
-                at = np.minimum(at + self.move[w, t][c], self.width)
+            at = starts.astype(np.intp)
+            for t in range(self.steps):
+                c = np.take(codes, at, out=read[t])
+                at += np.take(self.move[w, t], c)
             for k in range(TABLES):
-                x = np.zeros(n, np.uint64)
-                for j, p in enumerate(self.places[w, k]):
-                    x = (x ^ (read[:, p].astype(np.uint64) + np.uint64(j * 256 + 1))) * self.mix[j]
+                x = np.full(n, w * TABLES + k, np.uint64)
+                for p, m in zip(self.places[w, k], self.mix):
+                    x = (x + read[p]) * m
                     x ^= x >> np.uint64(29)
-                out[:, w * TABLES + k] = x
+                out[w * TABLES + k] = x
         return out
 
 
-def _codes(text: str) -> np.ndarray:
+def _codes(text: str, behind: int) -> np.ndarray:
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return (cp % 255 + 1).astype(np.uint8)
-
-
-def _windows(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    padded = np.concatenate([codes, np.zeros(width, np.uint8)])
-    return padded[starts[:, None] + np.arange(width)]
+    return np.concatenate([(cp % 255 + 1).astype(np.uint8), np.zeros(behind, np.uint8)])
+
+
+class Table:
+    """The keys of all windows of the items of one length class."""
+
+    def __init__(self, items: list[tuple[int, str]], width: int, stride: int, places: int, hits: int) -> None:
+        self.walks, self.stride, self.hits = Walks(width, places), stride, hits
+        keys, item, shift = [], [], []
+        for k, s in items:
+            at = np.arange(len(s) - width + 1)
+            keys.append(self.walks.keys(_codes(s, self.walks.steps), at))
+            item.append(np.full(len(at), k, np.int32))
+            shift.append(at.astype(np.int32))
+        self.item, self.shift = np.concatenate(item), np.concatenate(shift)
+        keys = np.concatenate(keys, axis=1)
+        order = np.argsort(keys, axis=None, kind="stable")
+        self.keys, self.source = keys.ravel()[order], (order % len(self.item)).astype(np.int32)
+        # Keys by their first bits, to tell most of those that the items lack.
+        self.bits = max(16, (len(self.keys) * 8).bit_length())
+        self.has = np.zeros(1 << self.bits, bool)
+        self.has[self.keys >> np.uint64(64 - self.bits)] = True
+
+    def near(self, codes: np.ndarray, offsets: np.ndarray):
+        """(row, item, shift) of the hits; row r is codes[offsets[r]:offsets[r + 1] - 1]."""
+        size = np.diff(offsets) - 1
+        # Strides from the row's start, and one window at its very end.
+        count = np.where(size >= self.walks.width, (size - self.walks.width) // self.stride + 2, 0)
+        rows = np.repeat(np.arange(len(size)), count)
+        at = (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)) * self.stride
+        at = np.minimum(at, size[rows] - self.walks.width)
+        out = []
+        for lo in range(0, len(rows), STEP):
+            r, a = rows[lo : lo + STEP], at[lo : lo + STEP]
+            keys = self.walks.keys(codes, offsets[r] + a)
+            t, q = np.nonzero(self.has[keys >> np.uint64(64 - self.bits)])
+            x = keys[t, q]
+            first = np.searchsorted(self.keys, x, "left")
+            n = np.searchsorted(self.keys, x, "right") - first
+            q = np.repeat(q, n)
+            src = self.source[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(q))]
+            out.append((r[q], self.item[src], a[q] - self.shift[src]))
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
 class Index:
     """Tables of one block of items: [(item id, text)]."""
 
     def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS) -> None:
-        self.items = [(i, s) for i, t in items if t and len(s := _normal(t)) >= CLASSES[0]]
+        self.items = [(i, s) for i, t in items if t and len(s := _normal(t)) >= MIN_CHARS]
         self.max_edits = max_edits
-        self.walks: dict[int, Walks] = {}
-        self.anchors: dict[tuple[str, str], set[int]] = {}
-        found: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-        for k, (_, s) in enumerate(self.items):
-            ws = s.split(" ")
-            at = np.cumsum([0] + [len(w) + 1 for w in ws[:-1]])
-            pair = lambda j: (ws[j], "" if len(ws[j]) >= LONG else ws[j + 1] if j + 1 < len(ws) else "")  # noqa: B023, E731
-            first = [j for j in range(len(ws)) if at[j] <= len(s) * 0.6]
-            for j in sorted(first, key=lambda j: (-len("".join(pair(j))), j))[:ANCHORS]:
-                # The long window says most; a short one has fewer of the edits.
-                left = len(s) - at[j]
-                for width in {max((c for c in CLASSES if c <= x), default=CLASSES[0]) for x in (left, max(18, left // 3))}:
-                    self.anchors.setdefault(pair(j), set()).add(width)
-                    found.setdefault(width, []).append((k, int(at[j]), _windows(_codes(s), np.array([at[j]]), width)[0]))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for width, rows in found.items():
-            w = self.walks[width] = Walks(width)
-            keys = w.keys(np.array([r[2] for r in rows]))
-            order = np.argsort(keys, axis=0, kind="stable")
-            self.tables[width] = (np.take_along_axis(keys, order, 0), order, np.array([r[:2] for r in rows]))
-        # Anchors by the numbers of their words; number 0 stands for any word.
-        self.words = ["", *sorted({w for p in self.anchors for w in p if w})]
-        number = {w: i for i, w in enumerate(self.words)}
-        self.pairs = {number[a] * len(number) + number[b]: v for (a, b), v in self.anchors.items()}
-        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.size = np.array([len(s) for _, s in self.items], np.int64)
+        ends = [*list(CLASSES)[1:], 1 << 62]
+        self.tables = []
+        for (least, layout), end in zip(CLASSES.items(), ends):
+            mine = [(k, s) for k, (_, s) in enumerate(self.items) if least <= len(s) < end]
+            if mine:
+                self.tables.append(Table(mine, *layout))
 
     def find(self, texts) -> list[tuple[int, int, int, int, int]]:
         """(row, item number, start, end, edits) in normalised characters."""
-        import pyarrow as pa
         import pyarrow.compute as pc
 
-        codes, offsets, vocab = lower_words(texts)
-        if not len(vocab) or len(self.words) == 1:
+        if not self.tables or not len(texts):
             return []
-        word = pc.fill_null(pc.index_in(vocab, value_set=pa.array(self.words, vocab.type)), 0).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-        last = np.zeros(len(word), bool)
-        last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
-        after = np.where(last, 0, np.append(word[1:], 0))
-        pos, width_of = [], []
-        for key in (word * len(self.words), word * len(self.words) + after):
-            near_keys = np.searchsorted(self.pair_keys, key)
-            hit = np.flatnonzero((word > 0) & (self.pair_keys[np.minimum(near_keys, len(self.pair_keys) - 1)] == key))
-            for h, k in zip(hit.tolist(), key[hit].tolist()):
-                for width in self.pairs[k]:
-                    pos.append(h)
-                    width_of.append(width)
-        pos, widths = np.array(pos, np.int64), np.array(width_of, np.int64)
-        rows = np.searchsorted(offsets, pos, "right") - 1
-        text_of: dict[int, str] = {}
-        batch: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        order = np.argsort(rows, kind="stable")
-        for r, mine in zip(np.unique(rows).tolist(), np.split(order, np.flatnonzero(np.diff(rows[order])) + 1)):
-            a, b = offsets[r], offsets[r + 1]
-            ws = vocab.take(pa.array(codes[a:b])).to_pylist()
-            text_of[r] = s = " ".join(ws)
-            at = np.cumsum([0] + [len(w) + 1 for w in ws[:-1]])
-            cp = _codes(s)
-            for width in np.unique(widths[mine]).tolist():
-                st = np.unique(at[pos[mine][widths[mine] == width] - a])
-                batch.setdefault(width, []).append((r, st, _windows(cp, st, width)))
-        near: set[tuple[int, int, int]] = set()
-        for width, parts in batch.items():
-            keys = self.walks[width].keys(np.concatenate([p[2] for p in parts]))
-            at_row = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
-            at_pos = np.concatenate([p[1] for p in parts])
-            table_keys, order, src = self.tables[width]
-            for t in range(keys.shape[1]):
-                lo = np.searchsorted(table_keys[:, t], keys[:, t], "left")
-                hi = np.searchsorted(table_keys[:, t], keys[:, t], "right")
-                for q in np.flatnonzero(hi > lo).tolist():
-                    for k in order[lo[q] : hi[q], t].tolist():
-                        near.add((int(at_row[q]), int(src[k, 0]), int(at_pos[q] - src[k, 1])))
+        plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"[\t-\r ]+", " ")
+        rows = [s.strip(" ") for s in plain.to_pylist()]
+        offsets = np.cumsum([0] + [len(s) + 1 for s in rows])
+        codes = _codes("\n".join(rows), 1 + max(t.walks.steps for t in self.tables))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        seen: dict[tuple[int, int], int] = {}
-        for r, k, start in sorted(near):
-            s = self.items[k][1]
-            slack = int(self.max_edits * len(s))
-            if start - seen.get((r, k), -(1 << 40)) <= slack // 2 and best.get((r, k)):
+        for t in self.tables:
+            r, k, shift = t.near(codes, offsets)
+            if not len(r):
                 continue
-            seen[r, k] = start
-            lo = max(0, start - slack)
-            region = text_of[r][lo : start + len(s) + slack]
-            if (x := region.find(s)) >= 0:
-                edits, begin, end = 0, x, x + len(s)
-            else:
-                edits, end = fitting_distance(s, region)
-                if edits > slack:
-                    continue
-                begin = end - fitting_distance(s[::-1], region[:end][::-1])[1]
-            if (r, k) not in best or edits < best[r, k][2]:
-                best[r, k] = (lo + begin, lo + end, edits)
-        return [(r, k, *v) for (r, k), v in sorted(best.items())]
+            order = np.lexsort((shift, k, r))
+            r, k, shift = r[order], k[order], shift[order]
+            slack = (self.max_edits * self.size[k]).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(r) > 0) | (np.diff(k) != 0) | (np.diff(shift) > slack[1:])]))
+            last = np.append(first[1:], len(r)) - 1
+            enough = last - first + 1 >= t.hits
+            for a, b in zip(first[enough].tolist(), last[enough].tolist()):
+                row, item = int(r[a]), int(k[a])
+                if (found := self._verified(rows[row], item, int(shift[a]), int(shift[b]))) and ((row, item) not in best or found[2] < best[row, item][2]):
+                    best[row, item] = found
+        return [(row, item, *v) for (row, item), v in sorted(best.items())]
+
+    def _verified(self, text: str, item: int, first: int, last: int) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the item's best place between two shifts, if near enough."""
+        s = self.items[item][1]
+        slack = int(self.max_edits * len(s))
+        lo = max(0, first - slack)
+        region = text[lo : last + len(s) + slack]
+        if (x := region.find(s)) >= 0:
+            return lo + x, lo + x + len(s), 0
+        edits, end = fitting_distance(s, region)
+        if edits > slack:
+            return None
+        begin = end - fitting_distance(s[::-1], region[:end][::-1])[1]
+        return lo + begin, lo + end, edits
 
 
 def benchmark_blocks(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Iterator[list[tuple[int, str]]]:

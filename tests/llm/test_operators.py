@@ -163,6 +163,20 @@ def test_leaks_are_found(spark):
     assert kept == set(range(300)) - {d for d, _ in got}
 
 
+def test_leaks_without_a_whole_word():
+    import pyarrow as pa
+
+    items = [" ".join(text(rnd.randint(5, 50))) for _ in range(80)]
+    docs = []
+    for it in items:
+        # Every word has an edit; beyond that as many as make 15 % of the item, and no blank around it.
+        at = [sum(len(w) + 1 for w in it.split()[:j]) + rnd.randrange(len(w)) for j, w in enumerate(it.split())][: len(it) * 15 // 100]
+        at += rnd.sample([p for p in range(len(it)) if p not in at], len(it) * 15 // 100 - len(at))
+        docs.append(" ".join(text(20)) + "".join("#" if p in at else c for p, c in enumerate(it)) + " ".join(text(20)))
+    got = {h[:2] for h in decontamination.Index(list(enumerate(items))).find(pa.array(docs))}
+    assert got <= {(k, k) for k in range(80)} and len(got) >= 76
+
+
 # Tokens
 
 
