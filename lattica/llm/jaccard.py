@@ -27,7 +27,9 @@ Pairs
     one the most central node (its sketches are shared most) is held against all
     others; those that aren't linked to it take the most central one among
     themselves, in ``ROUNDS`` rounds. So a group of n near copies makes about n
-    candidates, not n squared.
+    candidates, not n squared. Then all pairs of a bucket that are still in
+    different components are candidates, so none is left out; that is a square
+    for buckets of many texts that don't link.
 
 Verification
     Candidates are verified on the texts' shingles exactly. Only documents with
@@ -162,6 +164,18 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     return p.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
+def _open_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """members (sig, node, n, comp) of large buckets: all pairs of two components.
+
+    A bucket is dealt over as many blocks as it has members / 256.
+    """
+    mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").join(sizes, "sig").select("sig", F.ceil(F.col("k") / 256).cast("int").alias("blocks"))
+    m = members.join(mixed, "sig")
+    one = m.select("sig", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    all_ = m.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    return one.join(all_, ["sig", "block"]).where("a < b AND ca <> cb").where(_in_reach("na", "nb")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """pairs (a, b) that link, by their texts (node, t).
 
@@ -215,20 +229,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     texts = materialize(t, "texts")
 
     links = materialize(_verified(pairs, texts, threshold), "links")
-    comp, rest = None, large
-    for r in range(ROUNDS):
-        named = links.join(first.select(F.col("node").alias("a"), F.col("id").alias("u")), "a").join(first.select(F.col("node").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
-        comp = materialize(components(named), "components")
-        if r == ROUNDS - 1:
+    comp, rest, changed = None, large, True
+    for r in range(ROUNDS + 1):
+        if changed:
+            named = links.join(first.select(F.col("node").alias("a"), F.col("id").alias("u")), "a").join(first.select(F.col("node").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
+            comp = materialize(components(named), "components")
+        if r == ROUNDS:
             break
         # Nodes of large buckets that aren't yet with the bucket's most central one.
         label = first.join(comp, first["id"] == comp["id"], "left").select("node", F.coalesce("component", first["id"]).alias("comp"))
-        m = rest.join(label, "node")
-        lead = m.groupBy("sig").agg(F.max(F.struct("score", "node", "comp")).alias("p")).select("sig", F.col("p.comp").alias("lead"))
-        rest = materialize(m.join(lead, "sig").where("comp <> lead").select("sig", "node", "n", "score"), "rest")
-        more = materialize(_pivot_pairs(rest).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
+        if r == ROUNDS - 1:
+            open_pairs = _open_pairs(large.join(label, "node"), sizes)
+        else:
+            m = rest.join(label, "node")
+            lead = m.groupBy("sig").agg(F.max(F.struct("score", "node", "comp")).alias("p")).select("sig", F.col("p.comp").alias("lead"))
+            rest = materialize(m.join(lead, "sig").where("comp <> lead").select("sig", "node", "n", "score"), "rest")
+            open_pairs = _pivot_pairs(rest)
+        more = materialize(open_pairs.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        changed = not more.isEmpty()
+        if not changed:
+            continue
         pairs = materialize(pairs.union(more), "pairs")
         links = materialize(links.union(_verified(more, texts, threshold)), "links")
     out = all_docs.select("k", "n", "node").join(first.select("node", F.col("id").alias("first")), "node", "left").withColumn("first", F.coalesce("first", "k"))

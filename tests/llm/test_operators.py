@@ -1,5 +1,6 @@
 """Each operator against a plain version of what it computes."""
 
+import itertools
 import random
 import re
 import struct
@@ -241,6 +242,17 @@ def test_jaccard_equals_brute_force(spark):
     assert got == {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
+def test_jaccard_pool_of_passages(spark):
+    # Twins of three passages of a pool: all that they share is in 40 other texts, too.
+    pool = [[f"p{k}w{i}" for i in range(60)] for k in range(8)]
+    texts = []
+    for c in itertools.combinations(range(8), 3):
+        for twin in (0, 1):
+            texts.append(" ".join(w for k in c[:: 1 - 2 * twin] for w in [f"u{len(texts)}x{k}", *pool[k]]))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(3)
     for n in (300, 700, 1500):
