@@ -219,8 +219,8 @@ def families():
     return [" ".join(w) for w in out] + ["", None]
 
 
-def test_jaccard_equals_brute_force(spark):
-    texts = families()
+def brute_components(texts):
+    """(set size, least linked number) of each text."""
     sets = []
     for t in texts:
         w = (t or "").split()
@@ -238,8 +238,33 @@ def test_jaccard_equals_brute_force(spark):
             if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
+    return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
+
+
+def components_of(spark, texts):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+
+
+def test_jaccard_equals_brute_force(spark):
+    texts = families()
+    # Pairs of one template share most sketches, whether they link or not.
+    for length, few, many, n in ((100, 1, 3, 150), (260, 2, 8, 60), (700, 6, 24, 60), (1500, 20, 50, 40)):
+        base = text(length)
+        for _ in range(n):
+            w = list(base)
+            for k in rnd.sample(range(length), rnd.randint(few, many)):
+                w[k] = rnd.choice(VOCAB)
+            texts.append(" ".join(w))
+    texts += texts[-40:]
+    # A chain: each text links with its neighbours only.
+    w = text(300)
+    texts += [" ".join(w[8 * i : 8 * i + 100]) for i in range(25)]
+    # Ties: 6 of 8 shingles in common are exactly 75 %, 5 of 7 less.
+    texts += [" ".join(f"{x}{i}" for i in r) for x, r in (("t", range(11)), ("t", range(1, 12)), ("s", range(10)), ("s", range(1, 11)))]
+    want = brute_components(texts)
+    assert want[len(texts) - 3][1] == len(texts) - 4 and want[len(texts) - 1][1] == len(texts) - 1
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
-    assert got == {i: (len(sets[i]), root(i)) for i in range(len(texts))}
+    assert got == want
 
 
 def test_jaccard_pool_of_passages(spark):
@@ -255,11 +280,23 @@ def test_jaccard_pool_of_passages(spark):
 
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(3)
-    for n in (300, 700, 1500):
-        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[3:], r.integers(0, 1 << 63, 3).astype(np.uint64)]))
-        x, y = (set(jaccard.sketches(s)[0].tolist()) for s in (a, b))
-        assert len(x - y) <= 2 * 6 and len(x & y) > jaccard.SPARE
+    for n in (1, 2, 5, 30, 120, 200, 256, 300, 700, 1500):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            d = int(r.integers(0, n // 7 + 1))
+            b = np.unique(np.concatenate([a[d:], r.integers(0, 1 << 63, int(r.integers(0, d + 1))).astype(np.uint64)]))
+            if not len(b) or 100 * (len(a) - d) < 75 * (len(b) + d):
+                continue
+            shared = 0
+            for x, need in jaccard.sketches(a):
+                assert len(x) > need + jaccard._spare(len(a)) or len(a) < 200
+                for y, _ in jaccard.sketches(b):
+                    got = [set(z[: k + jaccard._spare(m)].tolist()) for z, k, m in ((x, need, len(a)), (y, _, len(b)))]
+                    shared = max(shared, len(got[0] & got[1]))
+            assert shared > max(jaccard._spare(3 * len(a) // 4), jaccard._spare(3 * len(b) // 4))
+            la, lb = jaccard._level(len(a)), jaccard._level(len(b))
+            p, q = (np.unpackbits(jaccard.bit_sketch(s), axis=1)[max(la, lb) - k] for s, k in ((a, la), (b, lb)))
+            assert (p != q).sum() <= d + len(b) - (len(a) - d)
 
 
 def test_components(spark):
