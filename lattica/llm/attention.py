@@ -1,31 +1,37 @@
 """Language-model scoring with a small causal self-attention model in numpy.
 
 Tokens. A text's words (A-Z lower-cased) are encoded with a public byte-level
-vocabulary, each with a blank before it, then an end id; so ids and words tell
-each other. Ids are written once and read by the passes below.
-
-Counts over all training documents: ids, pairs of ids, words. Ids fall into
-``CLASSES`` classes: the most frequent have one each, the others share the rest.
-
-Model. The next id's class comes from one attention layer over classes in
-windows of ``CONTEXT + SCORED`` places of which the last ``SCORED`` are scored,
-so windows overlap and each token is scored once; logits are those of the
-counted class pairs plus what attention adds. The id inside its class comes from
-the counted pairs of ids, smoothed with single ids. A word is its first id given
-that a word begins, times a mixture for the rest of it: the word's part of all
-training words with that first id, and its further ids and its end by the model.
-The counted words are those of at least 1/2^21 of all, a table that is broadcast
-and so bounded whatever the input; they weigh as much as their part of all words.
-
-Training. All windows of all training documents, in parallel: partitions start
-from the same parameters (warmed up on about ``WARM`` documents), run Adam over
-their windows, and their parameters are averaged by numbers of tokens.
-
-The base score's counts are exact: words too rare for the broadcast table are
-joined with the word counts. Words are keyed by a 64-bit hash of their ids.
+vocabulary, each with a blank before it, then an end id. Ids are written once
+and read by the passes below.
+
+Counts over all training documents: ids, pairs of ids, words.
+
+Model. The ``OWN`` most frequent ids are a symbol each, the others share the rest
+of ``SYMBOLS`` (an id has its part of its symbol's count). Symbols fall into
+``GROUPS`` groups of like neighbours. The next id is a group, a symbol in it, an id
+in that. The group comes from causal attention over the symbols before: ``HEADS``
+heads of ``DIM`` numbers with an embedding of each symbol as query, key and value,
+in windows of ``CONTEXT + SCORED`` places of which the last ``SCORED`` are scored,
+so windows overlap and each id is scored once; the logits are what attention adds
+to the counted group after the last symbol. The symbol in its group comes from the
+counted pairs of symbols. So each step is a distribution over all ids, and the
+score is the probability of the text's ids up to the end id. The model has the same
+form for any input: only counts and parameters follow the corpus.
+
+Training. All windows of all training documents in ``ROUNDS`` rounds, each over
+another part of the documents (by hash): partitions start from the same parameters
+(first from a warm-up on at most ``WARM`` documents), run Adam over their windows,
+and their parameters are averaged by numbers of ids. Which windows are averaged
+and which follow each other hangs on how the input is dealt to tasks, so scores
+of another partitioning differ a little; base scores and counts don't.
+
+The base score's counts are exact: a table of the more frequent words is broadcast
+to save work, all others are joined. Words are keyed by a 64-bit hash of their ids.
 
 Null texts are empty: they have the end token only. Repeated rows are scored
-each. Without training documents the counts are 0 and smoothing is all.
+each and count each; very long texts are read whole, in windows. Ties between
+equally frequent ids go to the smaller id. Without training documents (or rows)
+the counts are 0 and smoothing is all. Columns named as those added are replaced.
 """
 
 from __future__ import annotations
@@ -40,13 +46,15 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import fold, lower_words, materialize, table, text_chunks
 
-CLASSES = 32
-SINGLES = 24
-DIM = 8
-CONTEXT = SCORED = 8
-WARM = 200
+SYMBOLS, OWN = 1024, 960
+GROUPS = 32
+HEADS, DIM = 2, 8
+CONTEXT, SCORED = 8, 16
+#: Documents of the warm-up, their longest in bytes of ids, and passes over them.
+WARM, WARM_BYTES, WARM_PASSES = 200, 1 << 15, 6
+ROUNDS = 3
+#: Words that are at least 1 / 2^WORDS_BOUND of all are broadcast, the others joined: how, not what, is counted.
 WORDS_BOUND = 21
-PAIRS_BOUND = 20
 END = 50256
 VOCAB = 50257
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -191,76 +199,106 @@ def count_table(train: DataFrame, path: str) -> DataFrame:
     return train.select("ids").mapInArrow(part, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
+def symbols(id_counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The symbol of each id. Ids that share one begin a word all, or none does."""
+    order = np.argsort(-id_counts, kind="stable")
+    order = np.concatenate([[END], order[order != END]])
+    out = np.empty(VOCAB, np.int64)
+    out[order[:OWN]] = np.arange(OWN)
+    rest, half = order[OWN:], (SYMBOLS - OWN) // 2
+    for first, ids in ((OWN, rest[starts[rest]]), (OWN + half, rest[~starts[rest]])):
+        out[ids] = first + np.arange(len(ids)) % half
+    return out
+
+
+def groups(after: np.ndarray, weight: np.ndarray, passes: int = 15) -> np.ndarray:
+    """Groups of symbols with like followers and like predecessors (k-means on leading components)."""
+    joint = after * weight[:, None]
+    before = joint.T / np.maximum(joint.T.sum(1, keepdims=True), 1e-30)
+    x = np.concatenate([np.sqrt(after), np.sqrt(before)], 1)
+    x = x - weight @ x / weight.sum()
+    root = np.sqrt(weight)[:, None]
+    values, vectors = np.linalg.eigh((x * root) @ (x * root).T)
+    z = vectors[:, -24:] * np.sqrt(np.maximum(values[-24:], 0)) / root
+    centre = z[np.argsort(-weight, kind="stable")[:GROUPS]]
+    for _ in range(passes):
+        of = ((z[:, None, :] - centre[None]) ** 2).sum(2).argmin(1)
+        for g in range(GROUPS):
+            if (of == g).any():
+                centre[g] = np.average(z[of == g], axis=0, weights=weight[of == g])
+    return of
+
+
 class Model:
-    """Counts of ids, and the attention layer's parameters."""
-
-    NAMES = ("q", "k", "v", "place", "out")
-
-    def __init__(self, pair_keys: np.ndarray, pair_counts: np.ndarray, id_counts: np.ndarray, starts: np.ndarray) -> None:
-        order = np.argsort(-id_counts, kind="stable")
-        self.cls = np.empty(VOCAB, np.uint8)
-        self.cls[order[:SINGLES]] = np.arange(SINGLES)
-        rest, half = order[SINGLES:], (CLASSES - SINGLES) // 2
-        # A class holds either ids that begin a word or ids that go on with one.
-        for first, ids in ((SINGLES, rest[starts[rest]]), (SINGLES + half, rest[~starts[rest]])):
-            self.cls[ids] = first + np.arange(len(ids)) % half
-        self.begins = np.zeros(CLASSES, np.float32)
-        self.begins[self.cls[:VOCAB][starts[:VOCAB]]] = 1
-        self.id_counts = id_counts
-        self.keys, self.counts = pair_keys, pair_counts.astype(np.float32)
-        before, now = (pair_keys >> 16).astype(np.int64), (pair_keys & 0xFFFF).astype(np.int64)
-        smooth = id_counts + 0.5
-        self.inside = (smooth / np.bincount(self.cls, weights=smooth, minlength=CLASSES)[self.cls]).astype(np.float32)
-        self.kinds = np.bincount(before * CLASSES + self.cls[now], minlength=VOCAB * CLASSES).astype(np.float32) + 1
-        self.sums = np.bincount(before * CLASSES + self.cls[now], weights=pair_counts, minlength=VOCAB * CLASSES).astype(np.float32)
-        bi = np.bincount(self.cls[before].astype(np.int64) * CLASSES + self.cls[now], weights=pair_counts, minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-        uni = np.bincount(self.cls, weights=smooth, minlength=CLASSES)
-        uni = uni / uni.sum()
-        self.pairs = np.log((bi + 5 * uni) / (bi.sum(1, keepdims=True) + 5)).astype(np.float32)
-        # The class behind the start of a text is the end id's; the last row is padding.
-        self.pairs = np.vstack([self.pairs, np.zeros((1, CLASSES), np.float32)])
+    """Counted tables, and the attention layer's parameters."""
+
+    def __init__(self, pairs: np.ndarray, id_counts: np.ndarray, starts: np.ndarray) -> None:
+        """``pairs``: counts of symbol pairs, [SYMBOLS, SYMBOLS]."""
+        self.sym = symbols(id_counts, starts)
+        smooth = id_counts + 0.05
+        self.inside = np.log(smooth / np.bincount(self.sym, weights=smooth, minlength=SYMBOLS)[self.sym]).astype(np.float32)
+        single = pairs.sum(0) + 0.5
+        single = single / single.sum()
+        # Witten and Bell: as much weight for single symbols as there are kinds of pairs.
+        kinds = (pairs > 0).sum(1, keepdims=True) + 1
+        after = (pairs + kinds * single) / (pairs.sum(1, keepdims=True) + kinds)
+        self.group = groups(after, single)
+        member = np.zeros((SYMBOLS, GROUPS))
+        member[np.arange(SYMBOLS), self.group] = 1
+        of_group = np.maximum(after @ member, 1e-30)
+        self.given = np.log(after / of_group[:, self.group]).astype(np.float32).ravel()
+        # The last row stands for padding.
+        self.bias = np.vstack([np.log(of_group), np.zeros((1, GROUPS))]).astype(np.float32)
         rng = np.random.default_rng(1)
         r = lambda *s: (rng.standard_normal(s) * 0.2).astype(np.float32)
-        self.par = {"q": r(CLASSES + 1, DIM), "k": r(CLASSES + 1, DIM), "v": r(CLASSES + 1, DIM), "place": np.zeros((SCORED, CONTEXT + SCORED), np.float32), "out": r(DIM, CLASSES) * 0.1}
+        self.par = {"out": r(HEADS * DIM, GROUPS) * 0.1}
+        for k in range(HEADS):
+            self.par |= {f"q{k}": r(SYMBOLS + 1, DIM), f"k{k}": r(SYMBOLS + 1, DIM), f"v{k}": r(SYMBOLS + 1, DIM), f"place{k}": np.zeros((SCORED, CONTEXT + SCORED), np.float32)}
 
     def windows(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input classes [n, CONTEXT + SCORED], scored places [n, SCORED] (-1: none) and classes of all ids."""
-        c = self.cls[ids]
-        before = np.concatenate([[self.cls[END]], c[:-1]])
+        """Input symbols [n, CONTEXT + SCORED], scored places [n, SCORED] (-1: none) and symbols of all ids."""
+        c = self.sym[ids]
+        before = np.concatenate([[self.sym[END]], c[:-1]])
         size = np.diff(at)
-        before[at[:-1][size > 0]] = self.cls[END]
+        before[at[:-1][size > 0]] = self.sym[END]
         per = -(-size // SCORED)
         first = np.repeat(at[:-1], per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * SCORED
         start, end = np.repeat(at[:-1], per), np.repeat(at[1:], per)
         place = first[:, None] + np.arange(-CONTEXT, SCORED)
-        x = np.where((place >= start[:, None]) & (place < end[:, None]), before[np.clip(place, 0, len(c) - 1)], CLASSES)
+        x = np.where((place >= start[:, None]) & (place < end[:, None]), before[np.clip(place, 0, len(c) - 1)], SYMBOLS)
         scored = np.where(place[:, CONTEXT:] < end[:, None], place[:, CONTEXT:], -1)
         return x, scored, c
 
     _CAUSAL = (np.arange(CONTEXT + SCORED)[None, :] <= np.arange(SCORED)[:, None] + CONTEXT).astype(np.float32)
-    _ONES, _ROW = np.ones((CONTEXT + SCORED, 1), np.float32), np.ones(CLASSES, np.float32)
-
-    def forward(self, x: np.ndarray) -> tuple:
-        p = self.par
-        q, k, v = p["q"][x[:, CONTEXT:]], p["k"][x], p["v"][x]
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= np.float32(DIM**-0.5)
-        s += p["place"]
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        s *= self._CAUSAL
-        pad = x == CLASSES
-        if pad.any():
-            s *= ~pad[:, None, :]
-        s /= np.matmul(s, self._ONES)
-        h = np.matmul(s, v)
-        o = h.reshape(-1, DIM) @ p["out"]
-        o += self.pairs[x[:, CONTEXT:].ravel()]
-        return q, k, v, s, h, o
-
-    def step(self, x: np.ndarray, y: np.ndarray, adam: dict) -> float:
-        """One Adam step on windows x with target classes y (-1: none)."""
-        q, k, v, a, h, o = self.forward(x)
+    _ONES, _ROW = np.ones((CONTEXT + SCORED, 1), np.float32), np.ones(GROUPS, np.float32)
+
+    def forward(self, x: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """What each head saw, hidden states and group logits of the scored places."""
+        p, last, heads = self.par, x[:, CONTEXT:], []
+        pad = x == SYMBOLS
+        mask = ~pad[:, None, :] if pad.any() else None
+        h = np.empty((last.size, HEADS * DIM), np.float32)
+        for n in range(HEADS):
+            q, k, v = p[f"q{n}"][last], p[f"k{n}"][x], p[f"v{n}"][x]
+            s = np.matmul(q, k.transpose(0, 2, 1))
+            s *= np.float32(DIM**-0.5)
+            s += p[f"place{n}"]
+            np.minimum(s, 60, out=s)
+            np.exp(s, out=s)
+            s *= self._CAUSAL
+            if mask is not None:
+                s *= mask
+            # A padded place sees nothing; it isn't scored.
+            s /= np.matmul(s, self._ONES) + np.float32(1e-20)
+            h[:, n * DIM : (n + 1) * DIM] = np.matmul(s, v).reshape(-1, DIM)
+            heads.append((q, k, v, s))
+        o = h @ p["out"]
+        o += self.bias[last.ravel()]
+        return heads, h, o
+
+    def step(self, x: np.ndarray, y: np.ndarray, adam: dict, rate: float = 0.01) -> float:
+        """One Adam step on windows x with target groups y (-1: none)."""
+        heads, h, o = self.forward(x)
         y = y.ravel()
         real = y >= 0
         e = np.exp(np.minimum(o, 60, out=o), out=o)
@@ -270,99 +308,105 @@ class Model:
         e[rows, y[rows]] -= 1
         e[~real] = 0
         e /= len(rows)
-        g = {"out": h.reshape(-1, DIM).T @ e}
-        dh = (e @ self.par["out"].T).reshape(h.shape)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = da - np.matmul(da * a, self._ONES)
-        ds *= a
-        g["place"] = ds.sum(0)
-        ds *= np.float32(DIM**-0.5)
-        add = lambda xs, d: np.stack([np.bincount(xs, weights=d[:, j], minlength=CLASSES + 1) for j in range(DIM)], 1).astype(np.float32)
-        flat = x.ravel()
-        g["q"] = add(x[:, CONTEXT:].ravel(), np.matmul(ds, k).reshape(-1, DIM))
-        g["k"] = add(flat, np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, DIM))
-        g["v"] = add(flat, np.matmul(a.transpose(0, 2, 1), dh).reshape(-1, DIM))
+        g = {"out": h.T @ e}
+        dh = e @ self.par["out"].T
+        add = lambda xs, d: np.stack([np.bincount(xs, weights=d[:, j], minlength=SYMBOLS + 1) for j in range(DIM)], 1).astype(np.float32)
+        flat, last = x.ravel(), x[:, CONTEXT:].ravel()
+        for n, (q, k, v, a) in enumerate(heads):
+            d = np.ascontiguousarray(dh[:, n * DIM : (n + 1) * DIM]).reshape(len(x), SCORED, DIM)
+            ds = np.matmul(d, v.transpose(0, 2, 1))
+            ds -= np.matmul(ds * a, self._ONES)
+            ds *= a
+            g[f"place{n}"] = ds.sum(0)
+            ds *= np.float32(DIM**-0.5)
+            g[f"q{n}"] = add(last, np.matmul(ds, k).reshape(-1, DIM))
+            g[f"k{n}"] = add(flat, np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, DIM))
+            g[f"v{n}"] = add(flat, np.matmul(a.transpose(0, 2, 1), d).reshape(-1, DIM))
         adam["t"] = t = adam.get("t", 0) + 1
-        for n in self.NAMES:
-            m = adam[n, 0] = 0.9 * adam.get((n, 0), 0) + 0.1 * g[n]
-            s = adam[n, 1] = 0.99 * adam.get((n, 1), 0) + 0.01 * g[n] ** 2
-            self.par[n] = (self.par[n] - 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+        for n, grad in g.items():
+            m = adam[n, 0] = 0.9 * adam.get((n, 0), 0) + 0.1 * grad
+            s = adam[n, 1] = 0.99 * adam.get((n, 1), 0) + 0.01 * grad**2
+            self.par[n] = (self.par[n] - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
         return float(loss)
 
-    def train(self, ids: np.ndarray, at: np.ndarray, adam: dict, size: int = 1024) -> None:
+    def train(self, ids: np.ndarray, at: np.ndarray, adam: dict, size: int = 1024, rate: float = 0.01) -> None:
         x, scored, c = self.windows(ids, at)
-        y = np.where(scored >= 0, c[scored].astype(np.int64), -1)
+        y = np.where(scored >= 0, self.group[c[scored]], -1)
         for a in range(0, len(x), size):
-            self.step(x[a : a + size], y[a : a + size], adam)
+            self.step(x[a : a + size], y[a : a + size], adam, rate)
 
-    def log_probability(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logarithms of the probability of each id and of a word's beginning there."""
+    def log_probability(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each id."""
         x, scored, c = self.windows(ids, at)
-        out, begin = np.empty(len(ids), np.float64), np.empty(len(ids), np.float64)
+        target, out = self.group[c], np.empty(len(ids), np.float64)
         for a in range(0, len(x), 1024):
-            o = self.forward(x[a : a + 1024])[5]
+            last = x[a : a + 1024, CONTEXT:].ravel()
+            o = self.forward(x[a : a + 1024])[2]
             z = scored[a : a + 1024].ravel()
             rows = np.flatnonzero(z >= 0)
+            z = z[rows]
             np.minimum(o, 60, out=o)
-            own = o[rows, c[z[rows]]]
-            total = np.log((np.exp(o, out=o) @ self._ROW)[rows])
-            out[z[rows]] = own - total
-            begin[z[rows]] = np.log((o @ self.begins)[rows]) - total
-        before = np.concatenate([[END], ids[:-1]]).astype(np.int64)
-        before[at[:-1][np.diff(at) > 0]] = END
-        key = (before << 16) | ids
-        n = np.zeros(len(ids), np.float32)
-        if len(self.keys):
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            n = np.where(self.keys[k] == key, self.counts[k], 0)
-        # Witten and Bell: as much weight for single ids as there are kinds of pairs.
-        at_class = before * CLASSES + c
-        return out + np.log((n + self.kinds[at_class] * self.inside[ids]) / (self.sums[at_class] + self.kinds[at_class])), begin
-
-
-def fit(train: DataFrame, counts: DataFrame, n_ids: int, path: str) -> Model:
+            own = o[rows, target[z]]
+            out[z] = own - np.log((np.exp(o, out=o) @ self._ROW)[rows]) + self.given[last[rows] * SYMBOLS + c[z]]
+        return out + self.inside[ids]
+
+
+def fit(train: DataFrame, counts: DataFrame, path: str) -> Model:
     """train: (ids) of all training documents; counts: count_table()."""
-    pairs = counts.where("kind = 1")
+    spark = train.sparkSession
+    pairs, starts = counts.where("kind = 1"), word_starts(path)
     ids = np.zeros(VOCAB)
     for r in pairs.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("i")).agg(F.sum("c").alias("c")).collect():  # VOCAB rows at most
         ids[r.i] = r.c
-    # At most 2^PAIRS_BOUND pairs are that frequent.
-    p = pairs.where(F.col("c") * (1 << PAIRS_BOUND) >= n_ids).select("key", "c").orderBy("key").toArrow()
-    model = Model(p.column("key").to_numpy(), p.column("c").to_numpy(), ids, word_starts(path))
+    # VOCAB rows of two numbers.
+    of = F.broadcast(spark.createDataFrame([(i, int(s)) for i, s in enumerate(symbols(ids, starts))], "i long, s int"))
+    a = of.select(F.col("i").alias("i"), F.col("s").alias("a"))
+    b = of.select(F.col("i").alias("j"), F.col("s").alias("b"))
+    p = pairs.select(F.shiftright("key", 16).alias("i"), F.col("key").bitwiseAND(0xFFFF).alias("j"), "c").join(a, "i").join(b, "j")
+    p = p.groupBy((F.col("a") * SYMBOLS + F.col("b")).alias("k")).agg(F.sum("c").alias("c")).toArrow()  # SYMBOLS^2 rows at most
+    table = np.zeros(SYMBOLS * SYMBOLS)
+    table[p.column("k").to_numpy()] = p.column("c").to_numpy()
+    model = Model(table.reshape(SYMBOLS, SYMBOLS), ids, starts)
     n = train.count()
     if not n:
         return model
-    share = int(min(1.0, WARM / n) * (1 << 30))
-    warm = train.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 30)) <= share).select("ids").toArrow()
+    # WARM documents at most, none over WARM_BYTES, copies once.
+    share = int(min(1.0, 4 * WARM / n) * (1 << 30))
+    some = train.select("ids", F.xxhash64("ids").alias("h")).where((F.length("ids") <= WARM_BYTES) & (F.pmod("h", F.lit(1 << 30)) <= share))
+    warm = some.dropDuplicates(["h"]).orderBy("h").limit(WARM).select("ids").toArrow()
     if warm.num_rows:
         adam: dict = {}
-        for b in warm.combine_chunks().to_batches(max_chunksize=64):
-            model.train(*_ids(b), adam)
-    shapes = [(k, model.par[k].shape) for k in Model.NAMES]
-    shared = train.sparkSession.sparkContext.broadcast(model)
-
-    def part(batches) -> Iterator:
-        import copy
-
-        import pyarrow as pa
-
-        m, adam, seen = copy.copy(shared.value), {}, 0
-        m.par = dict(m.par)
-        for batch in batches:
-            for b in text_chunks(batch, "ids", 1 << 20):
-                i, at = _ids(b)
-                m.train(i, at, adam)
-                seen += len(i)
-        if seen:
-            flat = np.concatenate([m.par[k].ravel() for k, _ in shapes]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], names=["i", "x"])
-
-    sums = train.select("ids").mapInArrow(part, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow().column("x").to_numpy()
-    if len(sums):
-        flat, at = sums[:-1] / sums[-1], 0
-        for k, s in shapes:
-            model.par[k] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
-            at += int(np.prod(s))
+        for _ in range(WARM_PASSES):
+            for b in warm.combine_chunks().to_batches(max_chunksize=32):
+                model.train(*_ids(b), adam, 256)
+    shapes = [(k, v.shape) for k, v in model.par.items()]
+    for r in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+        rate = 0.01 / (r + 1)
+
+        def part(batches, shared=shared, rate=rate) -> Iterator:
+            import copy
+
+            import pyarrow as pa
+
+            m, adam, seen = copy.copy(shared.value), {}, 0
+            m.par = dict(m.par)
+            for batch in batches:
+                for b in text_chunks(batch, "ids", 1 << 20):
+                    i, at = _ids(b)
+                    m.train(i, at, adam, rate=rate)
+                    seen += len(i)
+            if seen:
+                flat = np.concatenate([m.par[k].ravel() for k, _ in shapes]).astype(np.float64) * seen
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], names=["i", "x"])
+
+        mine = train.select("ids").where(F.pmod(F.xxhash64(F.lit(3), "ids"), F.lit(ROUNDS)) == r)
+        sums = mine.mapInArrow(part, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow().column("x").to_numpy()
+        if len(sums):
+            flat, at = sums[:-1] / sums[-1], 0
+            for k, s in shapes:
+                model.par[k] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
+                at += int(np.prod(s))
     return model
 
 
@@ -381,15 +425,11 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text", path: str | None
     counts = materialize(count_table(rows.where(F.col(train)), path), "counts")
     words = counts.where("kind = 0")
     t = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_ids = counts.where("kind = 1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     total, log_all = t.n, float(np.log10(max(t.n + 0.5 * (t.v + 1), 1e-300)))
-    model = fit(rows.where(F.col(train)), counts, n_ids, path)
+    model = fit(rows.where(F.col(train)), counts, path)
     # At most 2^WORDS_BOUND words are that frequent: two numbers each.
     often = words.where(F.col("c") * (1 << WORDS_BOUND) >= total).select(F.col("key").alias("k"), "c").orderBy("k").toArrow()
     often_k, often_c = often.column("k").to_numpy(), often.column("c").to_numpy()
-    # The part of the training words that would be in that table without one occurrence.
-    least = max(1, -(-total >> WORDS_BOUND))
-    share = min(0.98, max(0.02, float(often_c[often_c > least].sum()) / max(total, 1)))
     shared = docs.sparkSession.sparkContext.broadcast((model, often_k, often_c))
     rare_type = T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.IntegerType())]))
     out_fields = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("__rare", rare_type)]
@@ -403,7 +443,7 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text", path: str | None
         for batch in batches:
             for b in text_chunks(batch, "ids", 1 << 20):
                 ids, at = _ids(b)
-                lp, begins = m.log_probability(ids, at)
+                lp = m.log_probability(ids, at)
                 keys, begin = word_keys(ids, starts)
                 keys = keys.view(np.int64)
                 doc = np.searchsorted(at, begin, "right") - 1
@@ -411,13 +451,6 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text", path: str | None
                 if len(often_k):
                     k = np.minimum(np.searchsorted(often_k, keys), len(often_k) - 1)
                     c = np.where(often_k[k] == keys, often_c[k], 0)
-                # First id given that a word begins; then the rest of the word and that it ends.
-                first = lp[begin] - begins[begin]
-                ends = np.append(begins[begin[1:]], 0.0)
-                ends[np.flatnonzero(ids[begin] == END)] = 0.0
-                rest = np.add.reduceat(lp, begin) - lp[begin] + ends
-                of_first = np.log(np.maximum(share * c / np.maximum(m.id_counts[ids[begin]], 1), 1e-300))
-                score = (first + np.logaddexp(np.log(1 - share) + rest, of_first)) / np.log(10)
                 size = b.num_rows
                 known = c > 0
                 base = np.where(known, np.log10(c + 0.5) - log_all, 0)
@@ -429,7 +462,7 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text", path: str | None
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(r_doc[new], minlength=size))]).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(r_key[new]), pa.array(n)], names=["k", "n"]))
                 sums = lambda w: np.bincount(doc, weights=w, minlength=size)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in (*keep, "__row")), pa.array(np.bincount(doc, minlength=size)), pa.array(sums(known).astype(np.int64)), pa.array(sums(base)), pa.array(sums(score)), rare], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in (*keep, "__row")), pa.array(np.bincount(doc, minlength=size)), pa.array(sums(known).astype(np.int64)), pa.array(sums(base)), pa.array(np.add.reduceat(lp, at[:-1]) / np.log(10) if size else lp), rare], names=schema.names)
 
     scored = materialize(rows.mapInArrow(part, schema), "scored")
     r = scored.select("__row", F.explode("__rare").alias("x")).select("__row", "x.k", "x.n")
