@@ -22,7 +22,11 @@ The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters, each
 broadcast for one pass over the documents, so its size isn't bounded.
 
 Null and empty texts have no leaks. Items of fewer than 8 characters, which
-occur by chance, are left out, null items too. Repeated rows are matched each.
+occur by chance, are left out, null items too. Equal items of a block are one.
+Repeated rows are matched each; rows with a null id too. Very long texts are
+searched whole, a few thousand windows at a time. Ties: of an item's places in a
+document the first with the fewest edits found is reported. Other columns pass
+through decontaminate() and aren't returned by find_leaks().
 """
 
 from __future__ import annotations
@@ -41,9 +45,9 @@ BLOCK_CHARS = 1_000_000
 MIN_CHARS = 8
 WALKS, TABLES = 2, 8
 #: Least item length -> width of the windows, stride in documents, places of a table, hits of a candidate.
-CLASSES = {8: (8, 1, 5, 1), 32: (16, 4, 8, 1), 80: (32, 4, 11, 3)}
+CLASSES = {8: (8, 1, 5, 1), 32: (16, 4, 8, 1), 80: (32, 4, 11, 4)}
 #: Windows whose walks are taken at a time.
-STEP = 1 << 15
+STEP = 1 << 14
 MAX_EDITS = 0.2
 
 
@@ -92,34 +96,57 @@ class Walks:
         rng = np.random.default_rng((seed, width))
         # A walk moves on at every other step in the mean.
         self.width, self.steps = width, width * 7 // 4
-        self.move = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.intp)
+        # A code's word: whether a walk moves on at it, a bit for each step; the code itself on top.
+        self.word = rng.integers(0, 1 << self.steps, (WALKS, 64), dtype=np.int64).view(np.uint64) | (np.arange(64, dtype=np.uint64) << np.uint64(58))
         # Spread over the walk, one place in each part of it.
         cuts = np.linspace(0, self.steps, places + 1).astype(int)
         self.places = rng.integers(cuts[:-1], cuts[1:], (WALKS, TABLES, places))
-        self.mix = rng.integers(1, 1 << 62, places, dtype=np.uint64) | np.uint64(1)
+        self.mark = rng.integers(0, 1 << 62, (WALKS, TABLES), dtype=np.uint64)
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Windows of ``codes`` (uint8, ``steps`` zeros behind) -> uint64 [WALKS * TABLES, n]."""
+    def words(self, codes: np.ndarray) -> list[np.ndarray]:
+        """What keys() reads, for a text's codes."""
+        return [w.view(np.int64)[codes] for w in self.word]
+
+    def keys(self, words: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Windows of a text (``steps`` zeros behind) -> uint64 [WALKS * TABLES, n]."""
         n = len(starts)
         out = np.empty((WALKS * TABLES, n), np.uint64)
-        read = np.empty((self.steps, n), np.uint8)
+        read, move = np.empty((self.steps, n), np.int64), np.empty(n, np.int64)
         for w in range(WALKS):
             at = starts.astype(np.intp)
             for t in range(self.steps):
-                c = np.take(codes, at, out=read[t])
-                at += np.take(self.move[w, t], c)
+                # Places are in range; "clip" only spares numpy a copy.
+                np.take(words[w], at, out=read[t], mode="clip")
+                np.right_shift(read[t], t, out=move)
+                move &= 1
+                at += move
+            seen = read.view(np.uint64)
+            seen >>= np.uint64(58)
             for k in range(TABLES):
-                x = np.full(n, w * TABLES + k, np.uint64)
-                for p, m in zip(self.places[w, k], self.mix):
-                    x = (x + read[p]) * m
-                    x ^= x >> np.uint64(29)
-                out[w * TABLES + k] = x
+                x = out[w * TABLES + k]
+                x[:] = self.mark[w, k]
+                for p in self.places[w, k]:
+                    x <<= np.uint64(6)
+                    x ^= seen[p]
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xD6E8FEB86659FD93)
         return out
 
 
+def _code_table() -> np.ndarray:
+    """6-bit codes of the first 65,536 code points: letters, blank, digits, and 26 classes of all else."""
+    out = 38 + np.arange(1 << 16) % 26
+    out[97:123], out[32], out[48:58] = np.arange(1, 27), 27, np.arange(28, 38)
+    return out.astype(np.uint8)
+
+
+_CODE = _code_table()
+
+
 def _codes(text: str, behind: int) -> np.ndarray:
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.concatenate([(cp % 255 + 1).astype(np.uint8), np.zeros(behind, np.uint8)])
+    return np.concatenate([_CODE[cp & 0xFFFF], np.zeros(behind, np.uint8)])
 
 
 class Table:
@@ -130,7 +157,7 @@ class Table:
         keys, item, shift = [], [], []
         for k, s in items:
             at = np.arange(len(s) - width + 1)
-            keys.append(self.walks.keys(_codes(s, self.walks.steps), at))
+            keys.append(self.walks.keys(self.walks.words(_codes(s, self.walks.steps)), at))
             item.append(np.full(len(at), k, np.int32))
             shift.append(at.astype(np.int32))
         self.item, self.shift = np.concatenate(item), np.concatenate(shift)
@@ -138,23 +165,28 @@ class Table:
         order = np.argsort(keys, axis=None, kind="stable")
         self.keys, self.source = keys.ravel()[order], (order % len(self.item)).astype(np.int32)
         # Keys by their first bits, to tell most of those that the items lack.
-        self.bits = max(16, (len(self.keys) * 8).bit_length())
-        self.has = np.zeros(1 << self.bits, bool)
-        self.has[self.keys >> np.uint64(64 - self.bits)] = True
+        self.bits = max(16, (len(self.keys) * 64).bit_length())
+        has = np.zeros(1 << self.bits, bool)
+        has[self.keys >> np.uint64(64 - self.bits)] = True
+        self.has = np.packbits(has, bitorder="little")
 
     def near(self, codes: np.ndarray, offsets: np.ndarray):
-        """(row, item, shift) of the hits; row r is codes[offsets[r]:offsets[r + 1] - 1]."""
+        """(row, item, shift) of the hits; row r is codes[offsets[r]:offsets[r + 1] - 1].
+
+        A row shorter than the windows has none.
+        """
         size = np.diff(offsets) - 1
         # Strides from the row's start, and one window at its very end.
         count = np.where(size >= self.walks.width, (size - self.walks.width) // self.stride + 2, 0)
         rows = np.repeat(np.arange(len(size)), count)
         at = (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)) * self.stride
         at = np.minimum(at, size[rows] - self.walks.width)
-        out = []
+        words, out = self.walks.words(codes) if len(rows) else [], []
         for lo in range(0, len(rows), STEP):
             r, a = rows[lo : lo + STEP], at[lo : lo + STEP]
-            keys = self.walks.keys(codes, offsets[r] + a)
-            t, q = np.nonzero(self.has[keys >> np.uint64(64 - self.bits)])
+            keys = self.walks.keys(words, offsets[r] + a)
+            h = (keys >> np.uint64(64 - self.bits)).view(np.int64)
+            t, q = np.nonzero(np.take(self.has, h >> 3, mode="clip") >> (h & 7).astype(np.uint8) & 1)
             x = keys[t, q]
             first = np.searchsorted(self.keys, x, "left")
             n = np.searchsorted(self.keys, x, "right") - first
@@ -168,13 +200,17 @@ class Index:
     """Tables of one block of items: [(item id, text)]."""
 
     def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS) -> None:
-        self.items = [(i, s) for i, t in items if t and len(s := _normal(t)) >= MIN_CHARS]
+        equal: dict[str, list[int]] = {}
+        for i, t in items:
+            if t and len(s := _normal(t)) >= MIN_CHARS:
+                equal.setdefault(s, []).append(i)
+        self.items = [(min((i for i in ids if i is not None), default=None), s, len(ids)) for s, ids in equal.items()]
         self.max_edits = max_edits
-        self.size = np.array([len(s) for _, s in self.items], np.int64)
+        self.size = np.array([len(s) for _, s, _ in self.items], np.int64)
         ends = [*list(CLASSES)[1:], 1 << 62]
         self.tables = []
         for (least, layout), end in zip(CLASSES.items(), ends):
-            mine = [(k, s) for k, (_, s) in enumerate(self.items) if least <= len(s) < end]
+            mine = [(k, s) for k, (_, s, _) in enumerate(self.items) if least <= len(s) < end]
             if mine:
                 self.tables.append(Table(mine, *layout))
 
@@ -213,6 +249,11 @@ class Index:
         region = text[lo : last + len(s) + slack]
         if (x := region.find(s)) >= 0:
             return lo + x, lo + x + len(s), 0
+        # An edit takes three of the item's 3-grams at most, or four of its 4-grams.
+        for q in (3, 4):
+            grams = {region[i : i + q] for i in range(len(region) - q + 1)}
+            if sum(s[i : i + q] in grams for i in range(len(s) - q + 1)) < len(s) - q + 1 - q * slack:
+                return None
         edits, end = fitting_distance(s, region)
         if edits > slack:
             return None
@@ -226,14 +267,17 @@ def benchmark_blocks(benchmark: DataFrame, text: str = "text", key: str = "item_
     total = b.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = -(-total // BLOCK_CHARS) or 1
     for k in range(n):
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+        part = b if n == 1 else b.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
         yield [(r.i, r.t) for r in part.orderBy("i", "t").collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", max_edits: float = MAX_EDITS) -> DataFrame:
-    """(key, item key, start, end, edits, item_chars): every leak of an item in a document."""
+    """(key, item key, start, end, edits, item_chars, equal_items): every leak of an item in a document.
+
+    Items of one normalised text (in a block) are one, named by the least id and counted.
+    """
     spark, out = docs.sparkSession, None
-    schema = T.StructType([docs.schema[key], benchmark.schema[item_key], *(T.StructField(c, T.LongType()) for c in ("start", "end", "edits", "item_chars"))])
+    schema = T.StructType([docs.schema[key], benchmark.schema[item_key], *(T.StructField(c, T.LongType()) for c in ("start", "end", "edits", "item_chars", "equal_items"))])
     rows = docs.select(key, F.col(text).alias("__t"))
     for items in benchmark_blocks(benchmark, item_text, item_key):
         index = spark.sparkContext.broadcast(Index(items, max_edits))
@@ -246,8 +290,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
                 for b in text_chunks(batch, "__t"):
                     hits = x.find(b.column("__t"))
                     if hits:
-                        cols = [b.column(key).take(pa.array([h[0] for h in hits])), pa.array([x.items[h[1]][0] for h in hits], pa.int64()), *(pa.array([h[c] for h in hits], pa.int64()) for c in (2, 3, 4)), pa.array([len(x.items[h[1]][1]) for h in hits], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(cols, names=[key, item_key, "start", "end", "edits", "item_chars"])
+                        cols = [b.column(key).take(pa.array([h[0] for h in hits])), pa.array([x.items[h[1]][0] for h in hits], pa.int64()), *(pa.array([h[c] for h in hits], pa.int64()) for c in (2, 3, 4)), pa.array([len(x.items[h[1]][1]) for h in hits], pa.int64()), pa.array([x.items[h[1]][2] for h in hits], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
         found = rows.mapInArrow(part, schema)
         out = found if out is None else out.unionByName(found)
