@@ -7,17 +7,22 @@ most (a + b) / 7, and 3 a <= 4 b.
 
 Sketches
     Sets of over ``SMALL`` shingles, by size band (2^(b-1) <= n < 2^b): the hash
-    space is cut into 2^b segments, and a segment's sketch is the XOR of the
-    hashes that fall into it. A shingle that two sets don't share changes one
-    segment at most, so of a set's f sketches all but n // 3 are those of any
-    set that links with it. A set in reach of the next band has its sketches, too.
-    Sets up to 4/3 ``SMALL``: segments are single shingles, and all but n // 4 agree.
+    space is cut into segments, and a segment's sketch is the XOR of the hashes
+    that fall into it. A shingle that two sets don't share changes one segment at
+    most, so the number of differing segments bounds the symmetric difference from
+    below: of a set's f sketches all but n // 3 are those of any set that links
+    with it. A set in reach of the next band has that band's sketches, too. Sets up
+    to 4/3 ``SMALL``: segments are single shingles, and all but n // 4 agree.
 Candidates
-    By the pigeonhole principle the first n // 3 + 1 (n // 4 + 1) sketches in any
+    Small sets: by the pigeonhole principle the first n // 4 + 1 sketches in any
     order that is the same for all have one in common. The order is that of
     hashes; ``_spare`` more are joined, so that as many more agree, and then each
     node drops the most frequent ones of as many (those of passages that many
-    documents hold). No linked pair is lost.
+    documents hold). No linked pair is lost. Large sets: all sketches would be in
+    proportion to the texts, so ``SEGMENTS`` of 2^b / 2.3 are joined, the same for
+    all sets of a band. Of these a linked pair shares 26 or more in the mean, and
+    up to ``DROP`` are dropped: a pair is missed if it shares no more than that,
+    with a chance of about 1e-8 at the threshold and far less above it.
 Pairs
     In a bucket of up to ``PAIRWISE`` nodes all pairs are candidates. In a larger
     one the most central node (its sketches are shared most) is held against all
@@ -55,11 +60,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import lower_words, materialize, table, text_chunks
+from lattica.llm.common import lower_words, materialize, release, table, text_chunks
 from lattica.llm.components import components
 
 N = 5
 SMALL = 192
+SEGMENTS, DROP = 64, 6
 PAIRWISE = 16
 BITS = 2048
 #: Nodes of a block, on either side.
@@ -97,25 +103,47 @@ def shingle_sets(texts, n: int = N) -> list[np.ndarray]:
 
 
 def _spare(n: int) -> int:
-    """Sketches joined beyond those that the pigeonhole principle asks for."""
+    """Sketches of small sets joined beyond those that the pigeonhole principle asks for."""
     return min(n // 12 + 2, n - n // 4 - 1) if n else 0
 
 
-def sketches(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Sketches of a set, in hash order, and how many must be joined; one pair for each size band."""
-    n, out = len(s), []
+def _segments(s: np.ndarray, band: int, parts: int, some: int) -> np.ndarray:
+    """XOR sketches of the first ``some`` of ``parts`` segments, without empty ones."""
+    h = _mix(s, 4)
+    segment = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    if some < parts:
+        mine = segment < some
+        h, segment = h[mine], segment[mine]
+    order = np.argsort(segment, kind="stable")
+    h, segment = h[order], segment[order]
+    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(h) else np.zeros(0, np.int64)
+    x = np.bitwise_xor.reduceat(_mix(h, 0), first) if len(h) else h
+    return _mix(_mix(x + segment[first], 3) + np.uint64(band * 1000 + parts), 2)
+
+
+def _bands(n: int) -> list[int]:
+    b = n.bit_length()
+    return [b] + [b + 1] * (4 * n >= 3 << b) if n > SMALL else []
+
+
+def joined(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """The sketches that a set joins first, and how many of them it may drop."""
+    n, out = len(s), [np.zeros(0, np.uint64)]
+    # The least set that may link shares that many more than needed.
+    drop = DROP if n > SMALL * 4 // 3 else _spare(3 * n // 4)
     if 0 < n <= SMALL * 4 // 3:
-        out.append((np.sort(_mix(s, 1)), n // 4 + 1))
-    if n > SMALL:
-        b = n.bit_length()
-        h = np.sort(_mix(s, 4))
-        for band in [b] + [b + 1] * (4 * n >= 3 << b):
-            segment = h >> np.uint64(64 - band)
-            first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-            x = np.bitwise_xor.reduceat(_mix(h, 0), first)
-            x = _mix(_mix(x + segment[first], 3) + np.uint64(band), 2)
-            out.append((np.sort(x), n // 3 + 1))
-    return out
+        out.append(np.sort(_mix(s, 1))[: n // 4 + 1 + _spare(n)])
+    for band in _bands(n):
+        out.append(_segments(s, band, int(2**band / 2.3), SEGMENTS))
+        drop = min(drop, DROP)
+    return np.concatenate(out), drop
+
+
+def sketches(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """All sketches of a set, and how many must be joined; one pair for each size band."""
+    n = len(s)
+    out = [(_mix(s, 1), n // 4 + 1)] if 0 < n <= SMALL * 4 // 3 else []
+    return out + [(_segments(s, band, 1 << band, 1 << band), n // 3 + 1) for band in _bands(n)]
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -144,9 +172,7 @@ def _sketch_table(docs: DataFrame, text: str, key: str) -> DataFrame:
             for b in text_chunks(batch, "t"):
                 size, node, spare, values, offsets = [], [], [], [np.zeros(0, np.uint64)], [0]
                 for s in shingle_sets(b.column("t")):
-                    x = np.concatenate([y[: need + _spare(len(s))] for y, need in sketches(s)]) if len(s) else s
-                    # The least set that may link has joined that many more.
-                    drop = _spare(3 * len(s) // 4)
+                    x, drop = joined(s)
                     size.append(len(s))
                     node.append(_node(s) if len(s) else None)
                     spare.append(drop)
@@ -159,7 +185,7 @@ def _sketch_table(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(sig, node, n, c, score): the sketches that a node keeps and shares with c - 1 others at most."""
+    """(sig, node, n, c, score): the sketches that a node keeps and shares; c documents have it, copies too."""
     rows = nodes.where(F.col("node").isNotNull()).select("node", "n", "spare", F.explode("sigs").alias("sig"))
     shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig", "c")
     own = rows.join(shared, "sig").groupBy("node", "n", "spare").agg(F.sort_array(F.collect_set(F.struct("c", "sig"))).alias("s"))
@@ -373,9 +399,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         raise ValueError("sketch sizes are laid out for a threshold of 75")
     all_docs = materialize(_sketch_table(docs, text, key), "sketches")
     first = materialize(all_docs.where(F.col("node").isNotNull() & F.col("k").isNotNull()).groupBy("node").agg(F.min("k").alias("id")), "nodes")
-    # One document for each set.
-    heads = all_docs.join(first.select("node", F.col("id").alias("k")).hint("shuffle_hash"), ["node", "k"], "left_semi")
-    buckets = materialize(_buckets(heads), "buckets")
+    named = all_docs.where("k IS NOT NULL")
+    buckets = materialize(_buckets(named), "buckets")
+    # From here on the sketches aren't needed.
+    rows = materialize(all_docs.select("k", "n", "node"), "rows")
+    release(all_docs)
     large = buckets.where(f"c > {PAIRWISE}")
     pairs = materialize(_small_pairs(buckets).union(_pivot_pairs(large)).distinct(), "pairs")
 
@@ -398,7 +426,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             pairs = pairs.union(more)
             links = materialize(links.union(_verified(more, texts, threshold)), "links")
             comp, label = _labels(links, first)
-    out = all_docs.select("k", "n", "node").join(first.select("node", F.col("id").alias("first")), "node", "left").withColumn("first", F.coalesce("first", "k"))
+    release(buckets, texts)
+    out = rows.join(first.select("node", F.col("id").alias("first")), "node", "left").withColumn("first", F.coalesce("first", "k"))
     out = out.join(comp.withColumnRenamed("id", "first"), "first", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
 
