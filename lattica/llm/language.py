@@ -10,7 +10,8 @@ by code point), all else is a word boundary. Texts without a letter and nulls
 get ``und`` with score 0. Training adds up all training texts in the partitions
 and sends one vector per language and partition; nothing grows with the number
 of documents. Repeated rows count repeatedly; ties go to the first language by
-name.
+name. Very long texts are read whole. Columns named as those added are replaced;
+without training texts every prediction is ``und``. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ which that isn't certain to be the same (unusual white space, special tokens)
 are encoded whole.
 
 A null text is empty: it has the end id only. Documents with equal ids are
-ordered by text. A null id sorts first.
+ordered by the text's hash (ties). Null ids sort first. Repeated rows are written
+each. Very long texts run on over as many sequences as they need. An empty table
+gives no files and no rows. Other columns aren't written.
 """
 
 from __future__ import annotations
@@ -126,7 +128,10 @@ class _File:
 
         system, path = fs.FileSystem.from_uri(uri)
         system.create_dir(path, recursive=True)
-        self.system, self.path, self.part = system, f"{path}/{name}", f"{path}/.{name}.part"
+        from pyspark import TaskContext
+
+        # The name appears when the file is whole; a task that runs twice replaces its file by an equal one.
+        self.system, self.path, self.part = system, f"{path}/{name}", f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
         self.seq_len, self.dtype = seq_len, np.uint32 if wide else np.uint16
         doc = pa.struct([("doc_id", pa.int64()), ("end", pa.int32())])
         self.schema = pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len)), ("docs", pa.list_(doc))])
@@ -168,9 +173,17 @@ class _File:
             self._flush(self.have)
         self.writer.close()
         self.sink.close()
-        # A task that runs twice writes the same file; the name appears when it is whole.
+        from pyarrow import fs
+
+        if self.system.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.system.delete_file(self.path)
         self.system.move(self.part, self.path)
 
+    def drop(self) -> None:
+        """Removes what a failed task has written."""
+        self.sink.close()
+        self.system.delete_file(self.part)
+
 
 def write_sequences(docs: DataFrame, out: str, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", end_id: int = 0, seq_len: int = SEQ_LEN, partitions: int | None = None) -> DataFrame:
     """Writes ``docs`` by ascending ``key``; returns (part, path, tokens, documents), a row a file."""
@@ -182,21 +195,26 @@ def write_sequences(docs: DataFrame, out: str, tokenizer: str | None = None, tex
 
         part = TaskContext.get().partitionId()
         encoder, file, tokens, n = encoder_of(tokenizer), None, 0, 0
-        name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.arrow"
-        for batch in batches:
-            for b in text_chunks(batch, "t"):
-                file = file or _File(out, name, seq_len, encoder.wide)
-                ids, lengths = encoder.encode(b.column("t"))
-                ends = np.cumsum(lengths + 1)
-                file.add(np.insert(ids, np.cumsum(lengths), end_id), b.column("k").to_pylist(), ends)
-                tokens, n = tokens + int(ends[-1]), n + b.num_rows
+        try:
+            for batch in batches:
+                for b in text_chunks(batch, "t"):
+                    file = file or _File(out, f"part-{part:06d}.arrow", seq_len, encoder.wide)
+                    ids, lengths = encoder.encode(b.column("t"))
+                    ends = np.cumsum(lengths + 1)
+                    file.add(np.insert(ids, np.cumsum(lengths), end_id), b.column("k").to_pylist(), ends)
+                    tokens, n = tokens + int(ends[-1]), n + b.num_rows
+        except BaseException:
+            if file:
+                file.drop()
+            raise
         if file:
             file.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [file.path], "tokens": pa.array([tokens], pa.int64()), "documents": pa.array([n], pa.int64())})
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    # Rows of one id (or of none) may be many: their hash spreads them over files.
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     n = (partitions,) if partitions else ()
-    return rows.repartitionByRange(*n, "k").sortWithinPartitions("k", "t").mapInArrow(write, "part int, path string, tokens long, documents long")
+    return rows.repartitionByRange(*n, "k", "h").sortWithinPartitions("k", "h", "t").mapInArrow(write, "part int, path string, tokens long, documents long")
 
 
 def read_sequences(spark: SparkSession, files: DataFrame, uri: str) -> DataFrame:
