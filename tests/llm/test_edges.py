@@ -30,10 +30,10 @@ def bench(spark):
     return spark.createDataFrame([(1, "a benchmark item of some length that nobody has"), (2, None), (3, ""), (4, "x")], "item_id long, text string")
 
 
-CLASH = ["score", "predicted", "lang_pred", "size", "target", "draws", "kept", "n_words", "spans", "base_spans", "n_tokens", "ids"]
+CLASH = ["score", "predicted", "lang_pred", "size", "target", "draws", "kept", "n_words", "spans", "base_spans", "n_tokens", "ids", "cleaned", "removed_words", "n_clauses", "source_size", "n", "node", "k", "t"]
 
 OPS = {
-    "toxicity": lambda s, d, b: toxicity.toxicity(d, toxicity.learn_lexicon(d, d.select("doc_id", F.lit(1).alias("toxic")))),
+    "toxicity": lambda s, d, b: toxicity.toxicity(d, *toxicity.learn_grammar(d, d.select("doc_id", F.lit(1).alias("toxic")))),
     "lm": lambda s, d, b: attention.lm_scores(d.withColumn("__train", F.lit(True)), "__train"),
     "secrets": lambda s, d, b: secrets.scan_secrets(d),
     "quality": lambda s, d, b: quality.quality_rules(d),
