@@ -48,7 +48,7 @@ from lattica.llm.common import fold, lower_words, materialize, table, text_chunk
 
 SYMBOLS, OWN = 1024, 960
 GROUPS = 32
-HEADS, DIM = 2, 8
+HEADS, DIM = 2, 6
 CONTEXT, SCORED = 8, 16
 #: Documents of the warm-up, their longest in bytes of ids, and passes over them.
 WARM, WARM_BYTES, WARM_PASSES = 200, 1 << 15, 6
@@ -269,29 +269,33 @@ class Model:
         scored = np.where(place[:, CONTEXT:] < end[:, None], place[:, CONTEXT:], -1)
         return x, scored, c
 
-    _CAUSAL = (np.arange(CONTEXT + SCORED)[None, :] <= np.arange(SCORED)[:, None] + CONTEXT).astype(np.float32)
-    _ONES, _ROW = np.ones((CONTEXT + SCORED, 1), np.float32), np.ones(GROUPS, np.float32)
+    #: What a place mustn't see gets no weight.
+    _CAUSAL = np.where(np.arange(CONTEXT + SCORED)[None, :] <= np.arange(SCORED)[:, None] + CONTEXT, 0, -1e4).astype(np.float32)
+    _ROW = np.ones(GROUPS, np.float32)
 
     def forward(self, x: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-        """What each head saw, hidden states and group logits of the scored places."""
+        """What each head saw, hidden states and group logits of the scored places.
+
+        Weights are divided by their sum after they have met the values; the sum
+        comes from a value that is always one.
+        """
         p, last, heads = self.par, x[:, CONTEXT:], []
         pad = x == SYMBOLS
-        mask = ~pad[:, None, :] if pad.any() else None
+        some = np.flatnonzero(pad.any(1))
+        free = ~pad[some][:, None, :]
         h = np.empty((last.size, HEADS * DIM), np.float32)
         for n in range(HEADS):
-            q, k, v = p[f"q{n}"][last], p[f"k{n}"][x], p[f"v{n}"][x]
+            q, k = (p[f"q{n}"] * np.float32(DIM**-0.5))[last], p[f"k{n}"][x]
+            v = np.concatenate([p[f"v{n}"], np.ones((SYMBOLS + 1, 1), np.float32)], 1)[x]
             s = np.matmul(q, k.transpose(0, 2, 1))
-            s *= np.float32(DIM**-0.5)
-            s += p[f"place{n}"]
-            np.minimum(s, 60, out=s)
+            s += p[f"place{n}"] + self._CAUSAL
             np.exp(s, out=s)
-            s *= self._CAUSAL
-            if mask is not None:
-                s *= mask
+            s[some] *= free
+            o = np.matmul(s, v).reshape(-1, DIM + 1)
             # A padded place sees nothing; it isn't scored.
-            s /= np.matmul(s, self._ONES) + np.float32(1e-20)
-            h[:, n * DIM : (n + 1) * DIM] = np.matmul(s, v).reshape(-1, DIM)
-            heads.append((q, k, v, s))
+            total = o[:, DIM:] + np.float32(1e-20)
+            h[:, n * DIM : (n + 1) * DIM] = o[:, :DIM] / total
+            heads.append((q, k, v[:, :, :DIM], s, total))
         o = h @ p["out"]
         o += self.bias[last.ravel()]
         return heads, h, o
@@ -312,24 +316,28 @@ class Model:
         dh = e @ self.par["out"].T
         add = lambda xs, d: np.stack([np.bincount(xs, weights=d[:, j], minlength=SYMBOLS + 1) for j in range(DIM)], 1).astype(np.float32)
         flat, last = x.ravel(), x[:, CONTEXT:].ravel()
-        for n, (q, k, v, a) in enumerate(heads):
-            d = np.ascontiguousarray(dh[:, n * DIM : (n + 1) * DIM]).reshape(len(x), SCORED, DIM)
-            ds = np.matmul(d, v.transpose(0, 2, 1))
-            ds -= np.matmul(ds * a, self._ONES)
+        for n, (q, k, v, a, total) in enumerate(heads):
+            own = slice(n * DIM, (n + 1) * DIM)
+            d = np.ascontiguousarray(dh[:, own])
+            a /= total.reshape(len(x), SCORED, 1)
+            ds = np.matmul(d.reshape(len(x), SCORED, DIM), v.transpose(0, 2, 1))
+            ds -= (d * h[:, own]).sum(1).reshape(len(x), SCORED, 1)
             ds *= a
             g[f"place{n}"] = ds.sum(0)
-            ds *= np.float32(DIM**-0.5)
-            g[f"q{n}"] = add(last, np.matmul(ds, k).reshape(-1, DIM))
+            g[f"q{n}"] = add(last, np.matmul(ds, k).reshape(-1, DIM)) * np.float32(DIM**-0.5)
+            # The queries are scaled, so the keys' gradient is, too.
             g[f"k{n}"] = add(flat, np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, DIM))
-            g[f"v{n}"] = add(flat, np.matmul(a.transpose(0, 2, 1), d).reshape(-1, DIM))
+            g[f"v{n}"] = add(flat, np.matmul(a.transpose(0, 2, 1), d.reshape(len(x), SCORED, DIM)).reshape(-1, DIM))
         adam["t"] = t = adam.get("t", 0) + 1
         for n, grad in g.items():
             m = adam[n, 0] = 0.9 * adam.get((n, 0), 0) + 0.1 * grad
             s = adam[n, 1] = 0.99 * adam.get((n, 1), 0) + 0.01 * grad**2
-            self.par[n] = (self.par[n] - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+            new = self.par[n] - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
+            # Bounds keep all exponents in range.
+            self.par[n] = np.clip(new, -4, 4).astype(np.float32)
         return float(loss)
 
-    def train(self, ids: np.ndarray, at: np.ndarray, adam: dict, size: int = 1024, rate: float = 0.01) -> None:
+    def train(self, ids: np.ndarray, at: np.ndarray, adam: dict, size: int = 512, rate: float = 0.01) -> None:
         x, scored, c = self.windows(ids, at)
         y = np.where(scored >= 0, self.group[c[scored]], -1)
         for a in range(0, len(x), size):
@@ -339,10 +347,10 @@ class Model:
         """Natural logarithm of the probability of each id."""
         x, scored, c = self.windows(ids, at)
         target, out = self.group[c], np.empty(len(ids), np.float64)
-        for a in range(0, len(x), 1024):
-            last = x[a : a + 1024, CONTEXT:].ravel()
-            o = self.forward(x[a : a + 1024])[2]
-            z = scored[a : a + 1024].ravel()
+        for a in range(0, len(x), 512):
+            last = x[a : a + 512, CONTEXT:].ravel()
+            o = self.forward(x[a : a + 512])[2]
+            z = scored[a : a + 512].ravel()
             rows = np.flatnonzero(z >= 0)
             z = z[rows]
             np.minimum(o, 60, out=o)
