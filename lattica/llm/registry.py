@@ -14,7 +14,7 @@ _OPS = {
     "op6_decontamination": ("decontamination", "op6_decontamination", None),
     "op7_tokens": ("tokenization", "op7_tokens", None),
     "op8_substrings": ("substrings", "op8_substrings", None),
-    "op9_jaccard": ("jaccard", "op9_jaccard", None),
+    "op9_jaccard": ("jaccard", "op9_jaccard", "OP9_SQL"),
     "op10_language": ("language", "op10_language", None),
 }
 

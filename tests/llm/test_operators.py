@@ -535,26 +535,77 @@ def test_lm_counts_and_normalization(spark):
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n) and abs(r.base_score - base) < 1e-8 and r.score < 0
-    # Classes sum to one, and so do the ids inside a class given the id before.
+    # The score is the probability of the ids, end included: each step's sums to one over all ids.
     counts = np.zeros(attention.VOCAB)
-    counts[[5, 6, 7]] = [3, 2, 1]
+    counts[[5, 6, 7, 262, 263]] = [3, 2, 1, 4, 4]
     starts = attention.word_starts(attention.vocabulary())
-    keys = np.array([(5 << 16) | 6, (5 << 16) | 7])
-    m = attention.Model(keys, np.array([2, 1]), counts, starts)
-    total = 0.0
-    for a in range(0, attention.VOCAB, 4096):
-        ids = np.arange(a, min(a + 4096, attention.VOCAB), dtype=np.uint16)
-        pairs = np.stack([np.full(len(ids), 5, np.uint16), ids], 1).ravel()
-        lp = m.log_probability(pairs, np.arange(0, len(pairs) + 1, 2))[0]
-        total += np.exp(lp[1::2]).sum()
-    assert abs(total - 1) < 1e-3
+    sym, pairs = attention.symbols(counts, starts), np.zeros((attention.SYMBOLS, attention.SYMBOLS))
+    pairs[sym[5], sym[6]], pairs[sym[5], sym[7]], pairs[sym[262], sym[263]] = 2, 1, 4
+    m = attention.Model(pairs, counts, starts)
+    m.par = {k: v + np.random.default_rng(3).normal(0, 0.5, v.shape).astype(np.float32) for k, v in m.par.items()}
+    for before in ([5], [262, 7, 263] * 9, [attention.END]):
+        total, n = 0.0, len(before) + 1
+        for a in range(0, attention.VOCAB, 2048):
+            ids = np.arange(a, min(a + 2048, attention.VOCAB), dtype=np.uint16)
+            rows = np.concatenate([np.tile(np.array(before, np.uint16), (len(ids), 1)), ids[:, None]], 1).ravel()
+            total += np.exp(m.log_probability(rows, np.arange(0, len(rows) + 1, n))[n - 1 :: n]).sum()
+        assert abs(total - 1) < 1e-3
+
+
+def test_windows_score_each_id_once_with_its_past():
+    starts = attention.word_starts(attention.vocabulary())
+    r = np.random.default_rng(4)
+    m = attention.Model(r.integers(0, 3, (attention.SYMBOLS, attention.SYMBOLS)).astype(float), r.integers(0, 9, attention.VOCAB).astype(float), starts)
+    ids, at = r.integers(0, attention.VOCAB, 300).astype(np.uint16), np.array([0, 1, 17, 17, 130, 300])
+    whole = m.log_probability(ids, at)
+    later = ids.copy()
+    later[200:] = 11
+    assert np.allclose(m.log_probability(later, at)[:200], whole[:200]) and np.isfinite(whole).all()
+    # A document's scores don't hang on its neighbours.
+    assert np.allclose(m.log_probability(ids[17:130], np.array([0, 113])), whole[17:130], atol=1e-5)
+    # Plain attention, place by place.
+    x, scored, _ = m.windows(ids, at)
+    o = m.forward(x)[2].reshape(len(x), attention.SCORED, -1)
+    for w, t in ((3, 5), (7, 15), (0, 0)):
+        h = []
+        for n in range(attention.HEADS):
+            q, see = m.par[f"q{n}"][x[w, attention.CONTEXT + t]], [j for j in range(attention.CONTEXT + t + 1) if x[w, j] != attention.SYMBOLS]
+            e = np.exp([q @ m.par[f"k{n}"][x[w, j]] / np.sqrt(attention.DIM) + m.par[f"place{n}"][t, j] for j in see])
+            h.append(sum(v * m.par[f"v{n}"][x[w, j]] for v, j in zip(e / e.sum(), see)))
+        assert np.allclose(np.concatenate(h) @ m.par["out"] + m.bias[x[w, attention.CONTEXT + t]], o[w, t], atol=1e-4)
+
+
+def test_attention_beats_the_base_score(spark):
+    # Two kinds of text with the same words in another order: only context tells.
+    def walk(step):
+        k, out = rnd.randrange(40), []
+        for _ in range(80):
+            out.append(VOCAB[k])
+            k = (k + step) % 40 if rnd.random() < 0.9 else rnd.randrange(40)
+        return " ".join(out)
+
+    d = frame(spark, [walk(1 + 6 * (i % 2)) for i in range(300)]).withColumn("tr", F.col("doc_id") % 5 != 1)
+    rows = attention.lm_scores(d, "tr").where("NOT tr").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 def test_attention_gradient():
     r = np.random.default_rng(2)
-    m = attention.Model(np.zeros(0, np.int64), np.zeros(0), np.ones(attention.VOCAB), attention.word_starts(attention.vocabulary()))
-    x = r.integers(0, attention.CLASSES, (64, attention.CONTEXT + attention.SCORED))
-    y = x[:, attention.CONTEXT - 2 : attention.CONTEXT - 2 + attention.SCORED]
+    m = attention.Model(np.zeros((attention.SYMBOLS, attention.SYMBOLS)), np.ones(attention.VOCAB), attention.word_starts(attention.vocabulary()))
+    x = r.integers(0, 40, (64, attention.CONTEXT + attention.SCORED))
+    y = x[:, attention.CONTEXT - 2 : attention.CONTEXT - 2 + attention.SCORED] % attention.GROUPS
+    # Against differences of the loss.
+    before = {k: v.copy() for k, v in m.par.items()}
     adam: dict = {}
+    m.step(x, y, adam)
+    grad = {k[0]: v / 0.1 for k, v in adam.items() if k != "t" and k[1] == 0}
+    for name, at in (("out", (3, 4)), ("q0", (int(x[0, -1]), 2)), ("k1", (int(x[0, 3]), 1)), ("v0", (int(x[1, 5]), 0)), ("place1", (4, 6))):
+        loss = []
+        for e in (0.02, -0.02):
+            m.par = {k: v.copy() for k, v in before.items()}
+            m.par[name][at] += e
+            loss.append(m.step(x, y, {}))
+        assert abs((loss[0] - loss[1]) / 0.04 - grad[name][at]) < 2e-3 + 0.05 * abs(grad[name][at]), name
+    m.par, adam = before, {}
     losses = [m.step(x, y, adam) for _ in range(150)]
     assert losses[-1] < 0.6 * losses[0]
