@@ -45,24 +45,45 @@ def part_sources(edges: DataFrame, vertices: DataFrame, parts: DataFrame) -> Dat
     return vertices.select("id").join(parts, "id").join(inner, "id", "left_anti").select("id", "part")
 
 
+def _together(tables: list[DataFrame]) -> list[DataFrame]:
+    """Tables of rounds; every sixteenth time they are written as one, so that plans stay short."""
+    if len(tables) < 16:
+        return tables
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return [cut(out)]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def top_levels(edges: DataFrame, vertices: DataFrame, step: str = "1", max_rounds: int = 100_000) -> DataFrame:
     """(id, level): longest path from a source; ``step`` is an edge's length over u, v, w.
 
     A vertex is settled when all its in-edges come from settled vertices (Kahn),
-    so each edge is relaxed once. Vertices on or behind a cycle get no level.
+    so each edge is relaxed once; a round writes only the vertices that it
+    reaches and those that are reached but not settled. Vertices on or behind a
+    cycle get no level.
     """
     e = cut(edges.withColumn("__s", F.expr(step).cast("double")).select("u", "v", "__s"))
-    need = cut(degrees(edges, vertices).select("id", F.col("n_in").cast("long").alias("left"), F.lit(0.0).alias("level")))
-    done = None
+    need = cut(e.groupBy("v").agg(F.count(F.lit(1)).alias("need")))
+    ready = cut(vertices.select("id").join(need, F.col("id") == F.col("v"), "left_anti").select("id", F.lit(0.0).alias("level")))
+    done, waiting = [ready], None
     for _ in range(max_rounds):
-        ready = cut(need.where("left = 0").select("id", "level"))
+        reached = e.join(ready.withColumnRenamed("id", "u"), "u").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("level") + F.col("__s")).alias("l"))
+        if waiting is not None:
+            reached = reached.unionByName(waiting).groupBy("v").agg(F.sum("n").alias("n"), F.max("l").alias("l"))
+        now = cut(reached.join(need, "v").select("v", "n", F.greatest("l", F.lit(0.0)).alias("l"), (F.col("n") == F.col("need")).alias("full")))
+        ready, waiting = now.where("full").select(F.col("v").alias("id"), F.col("l").alias("level")), now.where("NOT full").drop("full")
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        reached = e.join(ready.withColumnRenamed("id", "u"), "u").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("level") + F.col("__s")).alias("l"))
-        rest = need.where("left > 0").join(reached, F.col("id") == F.col("v"), "left")
-        need = cut(rest.select("id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("level", F.coalesce("l", F.lit(0.0))).alias("level")))
-    return done if done is not None else need.limit(0).select("id", "level")
+        done = _together([*done, ready])
+    return _union(done)
 
 
 def bottom_levels(edges: DataFrame, vertices: DataFrame, step: str = "1") -> DataFrame:
@@ -70,10 +91,25 @@ def bottom_levels(edges: DataFrame, vertices: DataFrame, step: str = "1") -> Dat
     return top_levels(reverse(edges), vertices, step)
 
 
-def topological_order(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, level, place): by level, then id. Places count up within a level."""
+def topological_order(edges: DataFrame, vertices: DataFrame, kind: str = "level", seed: int = 0) -> DataFrame:
+    """(id, level, place): by level, then as ``kind`` says; places count up within a level.
+
+    ``level``: by id; ``random``: by a hash of ``seed`` and id; ``priority``: heaviest
+    vertices (w) first; ``mixed``: heavy ones first, by powers of two, in random order.
+    Sorted by range, so a large level is dealt over many tasks.
+    """
+    h = F.xxhash64(F.lit(seed), "id")
+    keys = {"level": [], "random": [h], "priority": [F.desc("w")], "mixed": [F.desc(F.floor(F.log2(F.greatest("w", F.lit(1e-9))))), h]}[kind]
     t = top_levels(edges, vertices)
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("id")))
+    if kind in ("priority", "mixed"):
+        t = t.join(vertices.select("id", "w"), "id")
+    order = ["level", *keys, "id"]
+    t = cut(t.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "level", F.monotonically_increasing_id().alias("__m"), F.spark_partition_id().alias("__p")))
+    # One row for each range of rows of a level: as many as levels and tasks.
+    part = t.groupBy("level", "__p").agg(F.min("__m").alias("__a"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("level").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("level", "__p", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__a") + 1).alias("__o"))
+    return t.join(part, ["level", "__p"]).select("id", "level", (F.col("__m") + F.col("__o")).cast("int").alias("place"))
 
 
 def depth_first_order(edges: DataFrame, vertices: DataFrame, limit: int = 200_000) -> list[int]:
@@ -107,16 +143,16 @@ def depth_first_order(edges: DataFrame, vertices: DataFrame, limit: int = 200_00
 
 def distances(edges: DataFrame, source: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(id, dist): fewest edges from the nearest source vertex (id)."""
-    seen = cut(source.select("id", F.lit(0).alias("dist")).distinct())
-    front, k = seen, 0
+    front, k = cut(source.select("id", F.lit(0).alias("dist")).distinct()), 0
+    rounds = [front]
     while k < max_rounds:
         k += 1
-        nxt = edges.join(front.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti")
+        nxt = edges.join(front.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct().join(_union(rounds), "id", "left_anti")
         front = cut(nxt.select("id", F.lit(k).alias("dist")))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        rounds = _together([*rounds, front])
+    return _union(rounds)
 
 
 def farthest(edges: DataFrame, source: DataFrame) -> DataFrame:
@@ -165,18 +201,34 @@ def partition_is_acyclic(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def transitive_reduction(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """The edges for which there is no longer path between their ends; weights unchanged."""
+    """The edges for which there is no longer path between their ends; weights unchanged.
+
+    Only edges over two levels or more can have one. From the tails of these a
+    search goes on below the level of their farthest head. Edges on or behind a
+    cycle stay.
+    """
     e = edges.select("u", "v").distinct()
+    ids = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
+    lv = cut(top_levels(e.withColumn("w", F.lit(1.0)), ids))
+    e = e.join(lv.select(F.col("id").alias("u"), F.col("level").alias("lu")), "u").join(lv.select(F.col("id").alias("v"), F.col("level").alias("lv")), "v")
     e = cut(e)
-    step = e.select(F.col("u").alias("v"), F.col("v").alias("x"))
-    front = cut(e.join(step, "v").select("u", F.col("x").alias("v")).distinct())
-    seen = front
+    over = e.where("lv - lu >= 2")
+    far = cut(over.groupBy("u").agg(F.max("lv").alias("far")))
+    step = e.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("lv").alias("ly"))
+    front = cut(e.join(far, "u").where("lv < far").select("u", F.col("v").alias("x"), "far"))
+    seen: list[DataFrame] = []
     for _ in range(max_rounds):
-        nxt = cut(front.join(step, "v").select("u", F.col("x").alias("v")).distinct().join(seen, ["u", "v"], "left_anti"))
+        nxt = front.join(step, "x").where("ly <= far").select("u", F.col("y").alias("x"), "far", "ly").distinct()
+        if seen:
+            nxt = nxt.join(_union(seen).select("u", "x"), ["u", "x"], "left_anti")
+        nxt = cut(nxt)
         if nxt.isEmpty():
             break
-        seen, front = cut(seen.union(nxt)), nxt
-    return edges.join(seen, ["u", "v"], "left_anti")
+        seen = _together([*seen, nxt])
+        front = nxt.where("ly < far").select("u", "x", "far")
+    if not seen:
+        return edges
+    return edges.join(_union(seen).select("u", F.col("x").alias("v")), ["u", "v"], "left_anti")
 
 
 def with_single_ends(edges: DataFrame, vertices: DataFrame, source_id: int, target_id: int) -> tuple[DataFrame, DataFrame]:

@@ -3,18 +3,19 @@
 Metrics are joins and sums. The partitioner coarsens on the cluster, by
 contracting vertices whose levels rule out a cycle, until the graph is small
 (``stop_size`` vertices); bisection and refinement then work on that on the
-driver, and the parts are projected back by joins.
+driver, and the parts are projected back by joins and refined at each level.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import cut
-from lattica.operators.graph import top_levels
+from lattica.operators.graph import _together, _union, top_levels
 
 
 def _labelled(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -62,19 +63,29 @@ def task_memory(tasks: DataFrame, memory: DataFrame) -> DataFrame:
     return named.groupBy("part").agg(F.sum("bytes").alias("bytes"))
 
 
-def coarsen_once(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, leader): pairs that may be contracted without closing a cycle.
+def coarsen_once(edges: DataFrame, vertices: DataFrame, turn: int = 0, loose: bool = False) -> DataFrame:
+    """(id, leader): vertices that may be contracted without closing a cycle.
 
-    A vertex proposes the successor one level below with the heaviest edge; a
-    successor takes its best proposal. Only edges from an even to an odd level
-    are used, so no path leaves a pair and comes back to it.
+    Turns go round. Siblings: vertices of one level with the same heaviest neighbour
+    (if ``loose``, any of one level) about four at a time; edges only lead to higher
+    levels, so whatever is merged inside a level closes no cycle. Funnels: a vertex
+    with one successor joins it, or one with one predecessor joins that; a path out
+    of the merged pair and back would have been a cycle before. Of a chain, those
+    join whose hash says so and whose neighbour's doesn't.
     """
-    lv = cut(top_levels(edges, vertices))
-    e = edges.join(lv.select(F.col("id").alias("u"), F.col("level").alias("lu")), "u").join(lv.select(F.col("id").alias("v"), F.col("level").alias("lv")), "v")
-    e = e.where("lv = lu + 1 AND lu % 2 = 0")
-    proposal = e.groupBy("u").agg(F.max(F.struct("w", (-F.col("v")).alias("nv"))).alias("x")).select("u", (-F.col("x.nv")).alias("v"), F.col("x.w").alias("w"))
-    taken = proposal.groupBy("v").agg(F.max(F.struct("w", (-F.col("u")).alias("nu"))).alias("x")).select(F.col("v").alias("id"), (-F.col("x.nu")).alias("leader"))
-    return vertices.select("id").join(taken, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    if turn % 3 == 0 or loose:
+        near = edges.select(F.col("u").alias("id"), F.col("v").alias("nb"), "w").union(edges.select(F.col("v").alias("id"), F.col("u").alias("nb"), "w"))
+        best = near.groupBy("id").agg(F.max(F.struct("w", (-F.col("nb")).alias("n"))).alias("x")).select("id", F.lit(0).cast("long").alias("nb") if loose else F.col("x.n").alias("nb"))
+        g = cut(top_levels(edges, vertices).join(best, "id", "left").select("id", "level", F.coalesce("nb", F.lit(1)).alias("nb")))
+        slots = g.groupBy("level", "nb").agg(F.ceil(F.count(F.lit(1)) / 4).alias("slots"))
+        g = g.join(slots, ["level", "nb"]).withColumn("slot", F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("slots")))
+        leader = g.groupBy("level", "nb", "slot").agg(F.min("id").alias("leader"))
+        return g.join(leader, ["level", "nb", "slot"]).select("id", "leader")
+    one, other = ("u", "v") if turn % 3 == 1 else ("v", "u")
+    coin = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 0
+    only = edges.groupBy(F.col(one).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias("leader")).where("n = 1")
+    only = only.where(coin("id") & ~coin("leader")).select("id", "leader")
+    return vertices.select("id").join(only, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def contract(edges: DataFrame, vertices: DataFrame, leaders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,97 +111,229 @@ def _kahn(ids: list[int], out: dict[int, dict[int, float]], into: dict[int, dict
     return order
 
 
-def bisect(ids: list[int], weight: dict[int, float], edges: list[tuple[int, int, float]], share: float = 0.5, slack: float = 0.1, passes: int = 4) -> set[int]:
-    """The upstream half: no edge leads back into it. Greedy growing, then boundary moves.
-
-    Growing takes vertices in a topological order that prefers those tied most to
-    what is taken. A pass moves vertices whose successors (or predecessors) are all
-    on the other side, best gain first, and keeps the best state it saw.
+class _Halves:
+    """A two-way partition of a small graph; ``up`` is closed under predecessors."""
+
+    def __init__(self, ids: list[int], weight: dict[int, float], edges: list[tuple[int, int, float]]) -> None:
+        self.ids, self.weight = ids, weight
+        self.out: dict[int, dict[int, float]] = {}
+        self.into: dict[int, dict[int, float]] = {}
+        for u, v, w in edges:
+            self.out.setdefault(u, {})[v] = w
+            self.into.setdefault(v, {})[u] = w
+        self.total = sum(weight[i] for i in ids)
+        self.flow = {i: sum(self.out.get(i, {}).values()) - sum(self.into.get(i, {}).values()) for i in ids}
+
+    def order(self, kind: str) -> list[int]:
+        """A topological order: what is tied most to what is taken, level by level, depth first, or by hash."""
+        level: dict[int, int] = {}
+        for i in _kahn(self.ids, self.out, self.into, lambda i: 0):
+            level[i] = 1 + max((level[j] for j in self.into.get(i, ())), default=-1)
+        turn = itertools.count()
+        gain = {
+            "greedy": lambda i: -sum(self.into.get(i, {}).values()),
+            "flow": lambda i: self.flow[i],
+            "level": lambda i: level[i],
+            "depth": lambda i: -next(turn),
+            "hash": lambda i: (i * 2654435761) % 4294967291,
+        }[kind]
+        return _kahn(self.ids, self.out, self.into, gain)
+
+    def prefix(self, order: list[int], low: float, high: float) -> set[int]:
+        """The prefix of an order with the least cut among those of allowed weight, or else the nearest one."""
+        w, cut_w, best = 0.0, 0.0, None
+        for n, i in enumerate(order[:-1]):
+            w += self.weight[i]
+            cut_w += self.flow[i]
+            far = max(low - w, w - high, 0.0)
+            if best is None or (far, cut_w) < best[0]:
+                best = ((far, cut_w), n + 1)
+        return set(order[: best[1]]) if best else set(order)
+
+    def cut(self, up: set[int]) -> float:
+        return sum(self.flow[i] for i in up)
+
+    def free(self, i: int, up: set[int]) -> bool:
+        """Whether i may change sides: nothing that it leads to stays behind it."""
+        return not any(j in up for j in self.out.get(i, ())) if i in up else all(j in up for j in self.into.get(i, ()))
+
+    def refine(self, up: set[int], low: float, high: float, passes: int = 8, swaps: bool = False) -> set[int]:
+        """Boundary moves by gain with rollback.
+
+        A pass moves each vertex once at most, the best free one first even at a loss,
+        and then goes back to its best state. With ``swaps`` sides take turns
+        (Kernighan and Lin), else the allowed weights say who may move.
+        """
+        up = set(up)
+        w_up = sum(self.weight[i] for i in up)
+        for _ in range(passes):
+            side = {True: [], False: []}
+            for i in self.ids:
+                if self.free(i, up):
+                    heapq.heappush(side[i in up], (-self.flow[i] if i in up else self.flow[i], i))
+            locked: set[int] = set()
+            moves: list[int] = []
+            gain, best, at, w = 0.0, 0.0, 0, w_up
+            lost = 0
+            turn = True
+            while lost < 200:
+                pick = None
+                for s in (turn, not turn) if swaps else sorted((True, False), key=lambda s: side[s][0] if side[s] else (float("inf"), 0)):
+                    while side[s] and (side[s][0][1] in locked or (side[s][0][1] in up) != s or not self.free(side[s][0][1], up)):
+                        heapq.heappop(side[s])
+                    if side[s]:
+                        i = side[s][0][1]
+                        after = w - self.weight[i] if s else w + self.weight[i]
+                        if low <= after <= high or abs(after - (low + high) / 2) < abs(w - (low + high) / 2):
+                            pick = (s, i, after)
+                            break
+                        heapq.heappop(side[s])
+                if pick is None:
+                    break
+                s, i, w = pick
+                heapq.heappop(side[s])
+                # Up has flow out less flow in on the cut: to leave it, i takes its own along.
+                gain += self.flow[i] if s else -self.flow[i]
+                (up.discard if s else up.add)(i)
+                locked.add(i)
+                moves.append(i)
+                for j in self.into.get(i, ()) if s else self.out.get(i, ()):
+                    if j not in locked and self.free(j, up):
+                        heapq.heappush(side[j in up], (-self.flow[j] if j in up else self.flow[j], j))
+                lost += 1
+                if gain > best + 1e-12:
+                    best, at, lost, w_best = gain, len(moves), 0, w
+                turn = not s
+            for i in moves[at:]:
+                (up.discard if i in up else up.add)(i)
+            if not at:
+                break
+            w_up = w_best
+        return up
+
+
+def bisect(ids: list[int], weight: dict[int, float], edges: list[tuple[int, int, float]], share: float = 0.5, slack: float = 0.1, kinds: tuple[str, ...] = ("greedy", "flow", "level", "depth", "hash"), refinement: str = "fm") -> set[int]:
+    """The upstream half: no edge leads back into it. The best of several initial orders, each refined.
+
+    ``refinement``: ``fm`` (single moves), ``kl`` (swaps), ``kl+fm`` or ``none``.
     """
-    out: dict[int, dict[int, float]] = {}
-    into: dict[int, dict[int, float]] = {}
-    for u, v, w in edges:
-        out.setdefault(u, {})[v] = w
-        into.setdefault(v, {})[u] = w
-    total = sum(weight[i] for i in ids)
-    order = _kahn(ids, out, into, lambda i: -sum(into.get(i, {}).values()))
-    low, high = (share - slack / 2) * total, (share + slack / 2) * total
-    up: set[int] = set()
-    w, cut_w, best = 0.0, 0.0, None
-    for n, i in enumerate(order):
-        w += weight[i]
-        cut_w += sum(out.get(i, {}).values()) - sum(into.get(i, {}).values())
-        if low <= w <= high and (best is None or cut_w < best[0]):
-            best = (cut_w, n + 1)
-    if best is None:
-        w, n = 0.0, 0
-        while n < len(order) - 1 and w + weight[order[n]] <= max(low, share * total):
-            w += weight[order[n]]
-            n += 1
-        best = (0.0, max(n, 1))
-    up = set(order[: best[1]])
-    w_up = sum(weight[i] for i in up)
-    for _ in range(passes):
-        moved = False
-        for i in order:
-            side = i in up
-            free = all(j not in up for j in out.get(i, ())) if side else all(j in up for j in into.get(i, ()))
-            g = sum(x for j, x in out.get(i, {}).items()) - sum(x for j, x in into.get(i, {}).items() if j in up) if side else sum(into.get(i, {}).values()) - sum(x for j, x in out.get(i, {}).items())
-            after = w_up + (-weight[i] if side else weight[i])
-            if free and g > 0 and low <= after <= high:
-                (up.discard if side else up.add)(i)
-                w_up, moved = after, True
-        if not moved:
-            break
-    return up
+    g = _Halves(ids, weight, edges)
+    low, high = (share - slack / 2) * g.total, (share + slack / 2) * g.total
+    best = None
+    for kind in kinds:
+        up = g.prefix(g.order(kind), low, high)
+        for step in [] if refinement == "none" else refinement.split("+"):
+            up = g.refine(up, low, high, swaps=step == "kl")
+        w = sum(weight[i] for i in up)
+        key = (max(low - w, w - high, 0.0), g.cut(up))
+        if best is None or key < best[0]:
+            best = (key, up)
+    return best[1]
+
+
+def _split(weight: dict[int, float], links: list[tuple[int, int, float]], k: int, slack: float, refinement: str, max_weight: float | None) -> dict[int, int]:
+    """Recursive bisection; with ``max_weight`` (memory of a part) it goes on until parts are no heavier."""
+    out: dict[int, int] = {}
+    number = itertools.count()
+
+    def go(ids: list[int], own: list, parts: int) -> None:
+        light = max_weight is None or sum(weight[i] for i in ids) <= max_weight
+        if len(ids) <= 1 or (parts <= 1 and light):
+            out.update(dict.fromkeys(ids, next(number)))
+            return
+        parts = max(parts, 2)
+        left = parts // 2
+        up = bisect(ids, weight, own, left / parts, slack, refinement=refinement)
+        if not 0 < len(up) < len(ids):
+            up = set(_Halves(ids, weight, own).order("greedy")[: len(ids) // 2])
+        for side, n in ((up, left), (set(ids) - up, parts - left)):
+            if side:
+                go(sorted(side), [x for x in own if x[0] in side and x[1] in side], n)
+
+    go(sorted(weight), links, k)
+    return out
 
 
-def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int = 20_000, max_levels: int = 25, slack: float = 0.1) -> DataFrame:
-    """(id, part) with ``k`` parts whose quotient graph is acyclic."""
-    steps: list[DataFrame] = []
+def refine_once(edges: DataFrame, vertices: DataFrame, parts: DataFrame, limit: float, turn: int = 0) -> DataFrame:
+    """One round of boundary moves on the cluster: (id, part), part numbers in topological order.
+
+    A vertex may go to its neighbours' parts between the last of its predecessors
+    and the first of its successors, which keeps the quotient acyclic. It goes
+    where it gains most, if none of its neighbours moves in this round (the one
+    with the greater gain does) and all that want to go there fit under ``limit``.
+    """
+    p = _labelled(edges, parts)
+    near = p.select(F.col("u").alias("id"), F.col("pu").alias("own"), F.col("pv").alias("q"), "w", F.lit(1).alias("to")).union(p.select("v", "pv", "pu", "w", F.lit(0)))
+    span = near.groupBy("id", "own").agg(F.max(F.when(F.col("to") == 0, F.col("q"))).alias("lo"), F.min(F.when(F.col("to") == 1, F.col("q"))).alias("hi"))
+    tie = near.groupBy("id", "q").agg(F.sum("w").alias("w"))
+    inside = tie.join(span, "id").where("q = own").select("id", F.col("w").alias("keep"))
+    wish = tie.join(span, "id").where("q <> own AND (lo IS NULL OR q >= lo) AND (hi IS NULL OR q <= hi)").join(inside, "id", "left")
+    wish = wish.withColumn("gain", F.col("w") - F.coalesce("keep", F.lit(0.0))).where("gain > 0").groupBy("id").agg(F.max(F.struct("gain", "q")).alias("x")).select("id", "x.gain", "x.q")
+    wish = cut(wish.withColumn("rank", F.struct("gain", F.xxhash64(F.lit(turn), "id"))))
+    a, b = wish.select(F.col("id").alias("u"), F.col("rank").alias("ru")), wish.select(F.col("id").alias("v"), F.col("rank").alias("rv"))
+    both = edges.join(a, "u").join(b, "v")
+    loser = both.select(F.when(F.col("ru") < F.col("rv"), F.col("u")).otherwise(F.col("v")).alias("id")).distinct()
+    wish = wish.join(loser, "id", "left_anti").join(vertices.select("id", F.col("w").alias("vw")), "id")
+    weight = part_weights(vertices, parts).select(F.col("part").alias("q"), F.col("w").alias("now"))
+    room = wish.groupBy("q").agg(F.sum("vw").alias("more")).join(weight, "q", "left").where(F.coalesce("now", F.lit(0.0)) + F.col("more") <= limit).select("q")
+    move = wish.join(F.broadcast(room), "q").select("id", "q")
+    return parts.join(move, "id", "left").select("id", F.coalesce("q", "part").alias("part"))
+
+
+def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int = 20_000, max_levels: int = 40, slack: float = 0.1, refinement: str = "fm", rounds: int = 2, max_weight: float | None = None) -> DataFrame:
+    """(id, part) with ``k`` parts, or as many as ``max_weight`` asks for, whose quotient graph is acyclic.
+
+    Parts are refined at each level on the way back. A graph that can't be
+    coarsened to ``stop_size`` vertices isn't gathered on the driver: it is an error.
+    """
+    steps: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     e, v = cut(edges.groupBy("u", "v").agg(F.sum("w").alias("w"))), cut(vertices.select("id", F.col("w").cast("double").alias("w")))
     n = v.count()
-    for _ in range(max_levels):
+    slow = 0
+    for turn in range(max_levels):
         if n <= stop_size:
             break
-        leaders = cut(coarsen_once(e, v))
+        leaders = cut(coarsen_once(e, v, turn, slow >= 3))
         ce, cv = (cut(x) for x in contract(e, v, leaders))
         m = cv.count()
-        if m > 0.95 * n:
-            break
-        steps.append(leaders)
-        e, v, n = ce, cv, m
-    # The coarse graph: stop_size vertices, or one that can't be coarsened further.
+        slow = slow + 1 if m > 0.9 * n else 0
+        if m < n:
+            steps.append((leaders, e, v))
+            e, v, n = ce, cv, m
+    if n > stop_size:
+        raise ValueError(f"{n} vertices are left after {max_levels} rounds of coarsening, more than {stop_size}")
     weight = {r.id: r.w for r in v.collect()}
-    links = [(r.u, r.v, r.w) for r in e.collect()]
-
-    def split(ids: list[int], parts: int, first: int) -> dict[int, int]:
-        if parts == 1 or len(ids) <= 1:
-            return dict.fromkeys(ids, first)
-        inside = set(ids)
-        own = [x for x in links if x[0] in inside and x[1] in inside]
-        left = parts // 2
-        up = bisect(ids, weight, own, left / parts, slack)
-        return split(sorted(up), left, first) | split(sorted(inside - up), parts - left, first + left)
-
-    part = split(sorted(weight), k, 0)
+    part = _split(weight, [(r.u, r.v, r.w) for r in e.collect()], k, slack, refinement, max_weight)
     out = edges.sparkSession.createDataFrame(list(part.items()), "id long, part int")
-    for leaders in reversed(steps):
-        out = leaders.join(out.withColumnRenamed("id", "leader"), "leader").select("id", "part")
+    limit = max_weight or (1 + slack) * sum(weight.values()) / k
+    for leaders, fe, fv in reversed(steps):
+        out = cut(leaders.join(out.withColumnRenamed("id", "leader"), "leader").select("id", "part"))
+        for turn in range(rounds):
+            out = cut(refine_once(fe, fv, out, limit, turn))
     return out
 
 
-def fix_acyclicity(edges: DataFrame, parts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Two-way parts (0 upstream, 1 downstream): successors of downstream vertices move downstream."""
+def fix_acyclicity(edges: DataFrame, parts: DataFrame, max_rounds: int = 10_000, up: bool = False) -> DataFrame:
+    """Two-way parts (0 upstream, 1 downstream) without an edge from 1 to 0.
+
+    Successors of downstream vertices move downstream, or with ``up`` predecessors
+    of upstream vertices move upstream.
+    """
+    side, a, b = (0, "v", "u") if up else (1, "u", "v")
     p = cut(parts.select("id", "part"))
+    front = p.where(F.col("part") == side).select("id")
+    changed: list[DataFrame] = []
     for _ in range(max_rounds):
-        low = p.where("part = 1").select(F.col("id").alias("u"))
-        bad = edges.join(low, "u").select(F.col("v").alias("id")).distinct().join(p.where("part = 0"), "id", "left_semi")
-        bad = cut(bad.withColumn("hit", F.lit(1)))
-        if bad.isEmpty():
-            return p
-        p = cut(p.join(bad, "id", "left").select("id", F.when(F.col("hit").isNotNull(), 1).otherwise(F.col("part")).alias("part")))
-    return p
+        bad = edges.join(front.select(F.col("id").alias(a)), a).select(F.col(b).alias("id")).distinct().join(p.where(F.col("part") != side), "id", "left_semi")
+        if changed:
+            bad = bad.join(_union(changed), "id", "left_anti")
+        front = cut(bad.select("id"))
+        if front.isEmpty():
+            break
+        changed = _together([*changed, front])
+    if not changed:
+        return p
+    return p.join(_union(changed).withColumn("__hit", F.lit(1)), "id", "left").select("id", F.when(F.col("__hit").isNotNull(), side).otherwise(F.col("part")).alias("part"))
 
 
 def refine_blocks(fine: DataFrame, coarse_parts: DataFrame) -> DataFrame:
@@ -211,5 +354,5 @@ def top_neighbours(edges: DataFrame) -> DataFrame:
 def mutual_best(edges: DataFrame) -> DataFrame:
     """Pairs (u, v) that are each other's heaviest neighbour; ties by id."""
     both = edges.select("u", "v", "w").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("w"), "v"))).where("r = 1").select("u", "v")
+    best = both.groupBy("u").agg(F.max(F.struct("w", (-F.col("v")).alias("n"))).alias("x")).select("u", (-F.col("x.n")).alias("v"))
     return best.join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"]).where("u < v")

@@ -18,8 +18,88 @@ def _placed(a: SparseMatrix) -> DataFrame:
     return a.general().coo.repartition(by).persist()
 
 
+#: Entries of a packed chunk of a matrix.
+CHUNK = 1 << 19
+
+
+class PackedMatrix:
+    """A matrix whose vectors fit the driver (``BROADCAST_ROWS``), by row in chunks.
+
+    A product broadcasts x and runs one NumPy kernel on each chunk; what comes
+    back are the sums by row, a vector again. Chunks are cached; a lost one is made
+    again from the entries.
+    """
+
+    def __init__(self, a: SparseMatrix) -> None:
+        self.spark, self.n_rows = a.coo.sparkSession, a.n_rows
+
+        def pack(batches):
+            import pyarrow as pa
+
+            def chunk(parts):
+                i, j, v = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])).astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i[first], first, j, v)], names=["i", "first", "j", "v"])
+
+            have, n = [], 0
+            for b in batches:
+                if b.num_rows:
+                    have.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "v")])
+                    n += b.num_rows
+                if n >= CHUNK:
+                    yield chunk(have)
+                    have, n = [], 0
+            if have:
+                yield chunk(have)
+
+        coo = a.general().coo.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+        self.chunks = coo.repartition("i").sortWithinPartitions("i").mapInArrow(pack, "i binary, first binary, j binary, v binary").persist()
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        shared = self.spark.sparkContext.broadcast(x)
+
+        def kernel(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for i, first, j, v in zip(*(b.column(c).to_pylist() for c in ("i", "first", "j", "v"))):
+                    y = np.add.reduceat(np.frombuffer(v) * shared.value[np.frombuffer(j, np.int64)], np.frombuffer(first, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["i", "y"])
+
+        y = np.zeros(self.n_rows)
+        # A row that two chunks share comes twice: n_rows numbers and one a chunk.
+        for r in self.chunks.mapInArrow(kernel, "i binary, y binary").toArrow().to_pylist():
+            np.add.at(y, np.frombuffer(r["i"], np.int64), np.frombuffer(r["y"]))
+        shared.destroy()
+        return y
+
+    def free(self) -> None:
+        self.chunks.unpersist()
+
+
+def _fits(a: SparseMatrix, vectors: int = 1) -> bool:
+    """Whether vectors of the matrix fit a broadcast, and so many of them the driver (128 MB)."""
+    n = max(a.n_rows, a.n_cols)
+    return n <= BROADCAST_ROWS and n * vectors <= 1 << 24
+
+
 def power_norms(a: SparseMatrix, iterations: int = 10, x0: float = 0.5) -> list[float]:
     """Norm of A x before each normalization, from a constant start."""
+    if _fits(a):
+        m, x, norms = PackedMatrix(a), np.full(a.n_cols, float(x0)), []
+        for _ in range(iterations):
+            y = m.times(x)
+            norms.append(float(np.sqrt(y @ y)))
+            if norms[-1] == 0.0:
+                break
+            x = y / norms[-1]
+        m.free()
+        return norms
+    return _power_norms_joined(a, iterations, x0)
+
+
+def _power_norms_joined(a: SparseMatrix, iterations: int, x0: float) -> list[float]:
+    """The same for vectors of any length, as tables."""
     spark = a.coo.sparkSession
     coo = _placed(a)
     m = SparseMatrix(coo, a.n_rows, a.n_cols)
@@ -42,11 +122,30 @@ def power_iteration(a: SparseMatrix, iterations: int = 10, x0: float = 0.5) -> D
 
 
 def lanczos_coefficients(a: SparseMatrix, steps: int, reorth: int = 1, eps: float = 1e-12) -> tuple[list[float], list[float]]:
-    """Alpha and beta with ``reorth`` Gram-Schmidt passes over the whole basis.
+    """Alpha and beta with ``reorth`` Gram-Schmidt passes over the whole basis. Stops early where beta vanishes."""
+    if not _fits(a, steps + 1):
+        return _lanczos_joined(a, steps, reorth, eps)
+    m, q = PackedMatrix(a), [np.full(a.n_rows, float(a.n_rows) ** -0.5)]
+    alpha: list[float] = []
+    beta: list[float] = []
+    for k in range(steps):
+        z = m.times(q[k])
+        for turn in range(max(1, reorth)):
+            c = [float(x @ z) for x in q]
+            if not turn:
+                alpha.append(c[k])
+            for x, w in zip(q, c):
+                z = z - w * x
+        beta.append(float(np.sqrt(z @ z)))
+        if beta[-1] < eps:
+            break
+        q.append(z / beta[-1])
+    m.free()
+    return alpha, beta
 
-    The basis is one array column that grows by a column each step, so a step
-    shuffles only the product. Stops early where beta vanishes.
-    """
+
+def _lanczos_joined(a: SparseMatrix, steps: int, reorth: int, eps: float) -> tuple[list[float], list[float]]:
+    """The same for vectors of any length: the basis is an array column, so a step shuffles only the product."""
     spark = a.coo.sparkSession
     coo = _placed(a)
     m = SparseMatrix(coo, a.n_rows, a.n_cols)

@@ -234,7 +234,7 @@ def eigvec_columns(spark, d):
 
 @query(f"WITH {D.COPURCHASE} SELECT i // 64 AS bi, j // 64 AS bj, count(*) AS nnz FROM A GROUP BY 1, 2")
 def csb_blocks(spark, d):
-    return M.to_blocks(D.copurchase(spark, d), 64).select("bi", "bj", "nnz")
+    return M.block_counts(D.copurchase(spark, d), 64)
 
 
 @query(f"WITH {D.COPURCHASE} SELECT i // 64 AS bi, count(*) AS nnz FROM A GROUP BY 1")
@@ -388,7 +388,8 @@ def is_acyclic(spark, d):
     return G.is_acyclic(*D.supply_graph(spark, d))
 
 
-@query(f"WITH {D.CATALOGUE}, r AS (SELECT a.u, b.v FROM C a JOIN C b ON a.v = b.u UNION SELECT a.u, c.v FROM C a JOIN C b ON a.v = b.u JOIN C c ON b.v = c.u) SELECT u, v, 1.0::DOUBLE AS w FROM C WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = C.u AND r.v = C.v)")
+# Every path between the ends of a shortcut has two edges: shortcuts skip one layer.
+@query(f"WITH {D.CATALOGUE}, o AS (SELECT u, v FROM C WHERE v % 8 - u % 8 = 2), r AS (SELECT DISTINCT o.u, o.v FROM o JOIN C b ON b.v = o.v WHERE EXISTS (SELECT 1 FROM C a WHERE a.u = o.u AND a.v = b.u)) SELECT u, v, 1.0::DOUBLE AS w FROM C WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = C.u AND r.v = C.v)")
 def transitive_reduction(spark, d):
     return G.transitive_reduction(D.catalogue_graph(spark, d))
 
@@ -465,6 +466,94 @@ def mutual_best(spark, d):
     return P.mutual_best(D.trade(spark, d).select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("v").alias("w")))
 
 
+@query(_LEVELS.format(g=f"{D.SUPPLY}, {D.HALVES}", a="v", b="u", s="1") + ", L AS (SELECT id, max(level) AS level FROM T GROUP BY id), Q AS (SELECT DISTINCT p.part AS u, q.part AS v FROM G JOIN P p ON G.u = p.id JOIN P q ON G.v = q.id WHERE p.part <> q.part), R(part, l) AS (SELECT DISTINCT part, 0::DOUBLE FROM P WHERE part NOT IN (SELECT v FROM Q) UNION SELECT v, l + 1 FROM R JOIN Q ON part = u) SELECT L.id, P.part, m.part_level, L.level FROM L JOIN P ON L.id = P.id JOIN (SELECT part, max(l) AS part_level FROM R GROUP BY part) m ON m.part = P.part")
+def order_by_part(spark, d):
+    return P.order_by_part(*_parted(spark, d))
+
+
+@query(f"{_CUTS} SELECT id, part FROM P WHERE id NOT IN (SELECT v FROM L WHERE pu = pv)")
+def part_sources(spark, d):
+    return G.part_sources(*_parted(spark, d))
+
+
+@query(_LEVELS.format(g=D.SUPPLY, a="v", b="u", s="1") + ", L AS (SELECT id, max(level) AS level FROM T GROUP BY id) SELECT id, level, (row_number() OVER (PARTITION BY level ORDER BY (id * 7) % 11 DESC, id))::INTEGER AS place FROM L")
+def priority_order(spark, d):
+    e, v = D.supply_graph(spark, d)
+    return G.topological_order(e, v.withColumn("w", (F.col("id") * 7 % 11).cast("double")), "priority")
+
+
+@query(f"WITH {D.SUPPLY} SELECT u, v, round(w * (2.0::DOUBLE * (SELECT count(*) FROM VX) / (SELECT sum(w) FROM G)), 8) AS w FROM G")
+def scaled_to_ratio(spark, d):
+    return _rounded(G.scaled_to_ratio(*D.supply_graph(spark, d), 2.0), "w", 8)
+
+
+@query(f"WITH {D.TRADE} SELECT i AS u, string_agg(j::VARCHAR, ',' ORDER BY j) AS vs FROM M GROUP BY i")
+def top_neighbours(spark, d):
+    n = P.top_neighbours(D.trade(spark, d).select(F.col("i").alias("u"), F.col("j").alias("v")))
+    return n.select("u", F.array_join(F.transform("vs", lambda x: x.cast("string")), ",").alias("vs"))
+
+
+def _parity(spark, d):
+    e, v = D.user_chains(spark, d)
+    return D.cut(e), v.select("id", (F.col("id") % 2).cast("int").alias("part"))
+
+
+@query("SELECT event_id AS id, (max(event_id % 2) OVER (PARTITION BY user_id ORDER BY event_id))::INTEGER AS part FROM events")
+def fix_acyclicity(spark, d):
+    return P.fix_acyclicity(*_parity(spark, d))
+
+
+@query("SELECT event_id AS id, (min(event_id % 2) OVER (PARTITION BY user_id ORDER BY event_id DESC))::INTEGER AS part FROM events")
+def fix_acyclicity_up(spark, d):
+    return P.fix_acyclicity(*_parity(spark, d), up=True)
+
+
+@query("SELECT l_orderkey * 8 + l_linenumber AS id, (o_custkey % 4)::INTEGER AS part FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def refine_blocks(spark, d):
+    fine = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("parent"))
+    coarse = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).cast("int").alias("part"))
+    return P.refine_blocks(fine, coarse)
+
+
+@query("SELECT count(*) = 0 AS acyclic FROM (SELECT user_id FROM events WHERE user_id % 7 = 0 GROUP BY user_id HAVING count(*) > 1)")
+def is_acyclic_with_loops(spark, d):
+    e, v = D.user_chains(spark, d)
+    ends = spark.read.parquet(f"{d}/events.parquet").where("user_id % 7 = 0").groupBy("user_id").agg(F.max("event_id").alias("u"), F.min("event_id").alias("v")).where("u <> v")
+    return G.is_acyclic(e.union(ends.select("u", "v", F.lit(1.0))), v)
+
+
+@query(f"WITH {D.SUPPLY} SELECT count(*) AS n, 4::BIGINT AS parts, true AS balanced, true AS acyclic FROM VX")
+def multilevel_properties(spark, d):
+    e, v = D.supply_graph(spark, d)
+    p = D.cut(P.acyclic_partition(e, v, 4, stop_size=5_000))
+    whole = p.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"))
+    balanced, acyclic = P.is_balanced(v, p, 4, 1.25).first().balanced, G.partition_is_acyclic(e, p).first().acyclic
+    return whole.withColumns({"balanced": F.lit(balanced), "acyclic": F.lit(acyclic)})
+
+
+def _path(spark, n: int) -> M.SparseMatrix:
+    """2 on the diagonal, -1 beside it: its eigenvalues are 2 - 2 cos(k pi / (n + 1))."""
+    i = spark.range(n).select(F.col("id").alias("i"))
+    d = i.select("i", F.col("i").alias("j"), F.lit(2.0).alias("v"))
+    o = i.where(f"i < {n - 1}").select("i", (F.col("i") + 1).alias("j"), F.lit(-1.0).alias("v"))
+    return M.SparseMatrix(D.cut(d.union(o).union(M.transpose(o))), n, n)
+
+
+# From a constant start, half of the steps reach all eigenvectors that are even about the middle.
+@query("SELECT k, round(2 - 2 * cos((2 * k + 1) * pi() / (n + 1)), 6) AS ritz FROM (SELECT (count(*) // 5 * 4)::BIGINT AS n FROM region), range(0, 2) t(k)")
+def lanczos_path(spark, d):
+    n = spark.read.parquet(f"{d}/region.parquet").count() // 5 * 4
+    return _rounded(S.lanczos(_path(spark, n), n // 2).select(F.col("k").cast("long").alias("k"), "ritz"), "ritz")
+
+
+@query("SELECT k, round(2 - 2 * cos((k + 1) * pi() / (n + 1)), 4) AS lambda FROM (SELECT count(*) AS n FROM nation), range(0, 3) t(k)")
+def lobpcg_path(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").count()
+    rows = S.lobpcg_run(_path(spark, n), b=3, iterations=16)[0]
+    last = max(r[0] for r in rows)
+    return spark.createDataFrame([(int(r[1]), round(float(r[2]), 4)) for r in rows if r[0] == last], "k long, lambda double")
+
+
 @query("SELECT p_partkey AS id, p_retailprice AS w FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def heaviest(spark, d):
     return P.heaviest(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("w")), 20)

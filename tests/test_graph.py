@@ -73,7 +73,7 @@ def test_partition_is_acyclic(spark, stop):
     edges = sorted({(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(90)) if a < b})
     e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "u long, v long, w double")
     v = spark.range(60).selectExpr("id", "1.0D AS w")
-    p = P.acyclic_partition(e, v, 4, stop_size=stop, max_levels=2)
+    p = P.acyclic_partition(e, v, 4, stop_size=stop)
     part = dict(rows(p))
     assert len(part) == 60 and set(part.values()) == {0, 1, 2, 3}
     # Parts are numbered downstream, so no edge goes to a lower one.
