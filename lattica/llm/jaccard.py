@@ -442,8 +442,8 @@ s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i +
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
-both AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(id, m) AS (SELECT DISTINCT a, a FROM both UNION SELECT both.b, r.m FROM r JOIN both ON r.id = both.a WHERE r.m < both.b)
+lk AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, m) AS (SELECT DISTINCT a, a FROM lk UNION SELECT lk.b, r.m FROM r JOIN lk ON r.id = lk.a WHERE r.m < lk.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.m, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT id, min(m) AS m FROM r GROUP BY id) m ON m.id = d.doc_id
 """
