@@ -525,7 +525,7 @@ def is_acyclic_with_loops(spark, d):
 @query(f"WITH {D.SUPPLY} SELECT count(*) AS n, 4::BIGINT AS parts, true AS balanced, true AS acyclic FROM VX")
 def multilevel_properties(spark, d):
     e, v = D.supply_graph(spark, d)
-    p = D.cut(P.acyclic_partition(e, v, 4, stop_size=5_000))
+    p = D.cut(P.acyclic_partition(e, v, 4))
     whole = p.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"))
     balanced, acyclic = P.is_balanced(v, p, 4, 1.25).first().balanced, G.partition_is_acyclic(e, p).first().acyclic
     return whole.withColumns({"balanced": F.lit(balanced), "acyclic": F.lit(acyclic)})
@@ -562,4 +562,4 @@ def heaviest(spark, d):
 @query()
 def multilevel_parts(spark, d):
     e, v = D.supply_graph(spark, d)
-    return P.acyclic_partition(e, v, 4, stop_size=5_000)
+    return P.acyclic_partition(e, v, 4)
