@@ -263,7 +263,7 @@ def refine_once(edges: DataFrame, vertices: DataFrame, parts: DataFrame, limit:
     with the greater gain does) and all that want to go there fit under ``limit``.
     """
     p = _labelled(edges, parts)
-    near = p.select(F.col("u").alias("id"), F.col("pu").alias("own"), F.col("pv").alias("q"), "w", F.lit(1).alias("to")).union(p.select("v", "pv", "pu", "w", F.lit(0)))
+    near = cut(p.select(F.col("u").alias("id"), F.col("pu").alias("own"), F.col("pv").alias("q"), "w", F.lit(1).alias("to")).union(p.select("v", "pv", "pu", "w", F.lit(0))))
     span = near.groupBy("id", "own").agg(F.max(F.when(F.col("to") == 0, F.col("q"))).alias("lo"), F.min(F.when(F.col("to") == 1, F.col("q"))).alias("hi"))
     tie = near.groupBy("id", "q").agg(F.sum("w").alias("w"))
     inside = tie.join(span, "id").where("q = own").select("id", F.col("w").alias("keep"))
@@ -273,14 +273,14 @@ def refine_once(edges: DataFrame, vertices: DataFrame, parts: DataFrame, limit:
     a, b = wish.select(F.col("id").alias("u"), F.col("rank").alias("ru")), wish.select(F.col("id").alias("v"), F.col("rank").alias("rv"))
     both = edges.join(a, "u").join(b, "v")
     loser = both.select(F.when(F.col("ru") < F.col("rv"), F.col("u")).otherwise(F.col("v")).alias("id")).distinct()
-    wish = wish.join(loser, "id", "left_anti").join(vertices.select("id", F.col("w").alias("vw")), "id")
+    wish = cut(wish.join(loser, "id", "left_anti")).join(vertices.select("id", F.col("w").alias("vw")), "id")
     weight = part_weights(vertices, parts).select(F.col("part").alias("q"), F.col("w").alias("now"))
     room = wish.groupBy("q").agg(F.sum("vw").alias("more")).join(weight, "q", "left").where(F.coalesce("now", F.lit(0.0)) + F.col("more") <= limit).select("q")
     move = wish.join(F.broadcast(room), "q").select("id", "q")
     return parts.join(move, "id", "left").select("id", F.coalesce("q", "part").alias("part"))
 
 
-def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int = 20_000, max_levels: int = 40, slack: float = 0.1, refinement: str = "fm", rounds: int = 2, max_weight: float | None = None) -> DataFrame:
+def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int = 20_000, max_levels: int = 40, slack: float = 0.1, refinement: str = "fm", rounds: int = 1, max_weight: float | None = None) -> DataFrame:
     """(id, part) with ``k`` parts, or as many as ``max_weight`` asks for, whose quotient graph is acyclic.
 
     Parts are refined at each level on the way back. A graph that can't be

@@ -61,13 +61,13 @@ def test_parts_by_weight():
     assert max(sizes) <= 9 and all(part[u] <= part[v] for u, v, _ in e)
 
 
-@pytest.mark.parametrize("shape", ["random", "star", "chain"])
+@pytest.mark.parametrize("shape", ["random", "star"])
 def test_multilevel(spark, shape):
-    n = 16 if shape == "chain" else 60
-    e = {"random": dag(n, 0.03), "star": [(0, i, 1.0) for i in range(1, n)], "chain": [(i, i + 1, 1.0) for i in range(n - 1)]}[shape]
+    n = 48
+    e = {"random": dag(n, 0.03), "star": [(0, i, 1.0) for i in range(1, n)]}[shape]
     ed = spark.createDataFrame(e, "u long, v long, w double").cache()
     v = spark.range(n).withColumn("w", F.lit(1.0))
-    part = {r.id: r.part for r in P.acyclic_partition(ed, v, 3, stop_size=n // 2).collect()}
+    part = {r.id: r.part for r in P.acyclic_partition(ed, v, 3, stop_size=30).collect()}
     assert len(part) == n and set(part.values()) == {0, 1, 2}
     assert all(part[a] <= part[b] for a, b, _ in e)
 
