@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 from lattica.functions.storage import cut
 
+#: Tables with a row a vertex are broadcast up to this many rows; larger ones are shuffled.
+BROADCAST_VERTICES = 2_000_000
+
+
+def _beside(vertices: DataFrame, n: int | None) -> DataFrame:
+    """``vertices`` of ``n`` rows (None: not known) as the smaller side of a join with edges."""
+    return F.broadcast(vertices) if n is not None and n <= BROADCAST_VERTICES else vertices
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     """In-adjacency from out-adjacency and the other way round."""
@@ -73,14 +81,15 @@ def top_levels(edges: DataFrame, vertices: DataFrame, step: str = "1", max_round
     e = cut(edges.withColumn("__s", F.expr(step).cast("double")).select("u", "v", "__s"))
     need = cut(e.groupBy("v").agg(F.count(F.lit(1)).alias("need")))
     ready = cut(vertices.select("id").join(need, F.col("id") == F.col("v"), "left_anti").select("id", F.lit(0.0).alias("level")))
-    done, waiting = [ready], None
+    done, waiting, n = [ready], None, ready.count()
     for _ in range(max_rounds):
-        reached = e.join(ready.withColumnRenamed("id", "u"), "u").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("level") + F.col("__s")).alias("l"))
+        reached = e.join(_beside(ready.withColumnRenamed("id", "u"), n), "u").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("level") + F.col("__s")).alias("l"))
         if waiting is not None:
             reached = reached.unionByName(waiting).groupBy("v").agg(F.sum("n").alias("n"), F.max("l").alias("l"))
         now = cut(reached.join(need, "v").select("v", "n", F.greatest("l", F.lit(0.0)).alias("l"), (F.col("n") == F.col("need")).alias("full")))
         ready, waiting = now.where("full").select(F.col("v").alias("id"), F.col("l").alias("level")), now.where("NOT full").drop("full")
-        if ready.isEmpty():
+        n = ready.count()
+        if not n:
             break
         done = _together([*done, ready])
     return _union(done)

@@ -2,7 +2,7 @@
 
 Metrics are joins and sums. The partitioner coarsens on the cluster, by
 contracting vertices whose levels rule out a cycle, until the graph is small
-(``stop_size`` vertices); bisection and refinement then work on that on the
+(``stop_size`` vertices, ``stop_edges`` edges); bisection and refinement then work on that on the
 driver, and the parts are projected back by joins and refined at each level.
 """
 
@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import cut
-from lattica.operators.graph import _together, _union, top_levels
+from lattica.operators.graph import _beside, _together, _union, top_levels
 
 
-def _labelled(edges: DataFrame, parts: DataFrame) -> DataFrame:
+def _labelled(edges: DataFrame, parts: DataFrame, n: int | None = None) -> DataFrame:
+    """Edges with the parts of both ends; ``n`` is the number of vertices, if known."""
     p = parts.select(F.col("id").alias("u"), F.col("part").alias("pu"))
     q = parts.select(F.col("id").alias("v"), F.col("part").alias("pv"))
-    return edges.join(p, "u").join(q, "v")
+    return edges.join(_beside(p, n), "u").join(_beside(q, n), "v")
 
 
 def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -63,21 +64,23 @@ def task_memory(tasks: DataFrame, memory: DataFrame) -> DataFrame:
     return named.groupBy("part").agg(F.sum("bytes").alias("bytes"))
 
 
-def coarsen_once(edges: DataFrame, vertices: DataFrame, turn: int = 0, loose: bool = False) -> DataFrame:
+def coarsen_once(edges: DataFrame, vertices: DataFrame, turn: int = 0, loose: bool = False, together: int = 4) -> DataFrame:
     """(id, leader): vertices that may be contracted without closing a cycle.
 
     Turns go round. Siblings: vertices of one level with the same heaviest neighbour
-    (if ``loose``, any of one level) about four at a time; edges only lead to higher
+    (if ``loose``, any of one level) about ``together`` at a time; edges only lead to higher
     levels, so whatever is merged inside a level closes no cycle. Funnels: a vertex
     with one successor joins it, or one with one predecessor joins that; a path out
     of the merged pair and back would have been a cycle before. Of a chain, those
-    join whose hash says so and whose neighbour's doesn't.
+    join whose hash says so and whose neighbour's doesn't. Vertices may bring their
+    ``level``; a merge of siblings leaves the levels as they are.
     """
     if turn % 3 == 0 or loose:
         near = edges.select(F.col("u").alias("id"), F.col("v").alias("nb"), "w").union(edges.select(F.col("v").alias("id"), F.col("u").alias("nb"), "w"))
         best = near.groupBy("id").agg(F.max(F.struct("w", (-F.col("nb")).alias("n"))).alias("x")).select("id", F.lit(0).cast("long").alias("nb") if loose else F.col("x.n").alias("nb"))
-        g = cut(top_levels(edges, vertices).join(best, "id", "left").select("id", "level", F.coalesce("nb", F.lit(1)).alias("nb")))
-        slots = g.groupBy("level", "nb").agg(F.ceil(F.count(F.lit(1)) / 4).alias("slots"))
+        levels = vertices.select("id", "level") if "level" in vertices.columns else top_levels(edges, vertices)
+        g = cut(levels.join(best, "id", "left").select("id", "level", F.coalesce("nb", F.lit(1)).alias("nb")))
+        slots = g.groupBy("level", "nb").agg(F.ceil(F.count(F.lit(1)) / together).alias("slots"))
         g = g.join(slots, ["level", "nb"]).withColumn("slot", F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("slots")))
         leader = g.groupBy("level", "nb", "slot").agg(F.min("id").alias("leader"))
         return g.join(leader, ["level", "nb", "slot"]).select("id", "leader")
@@ -88,12 +91,14 @@ def coarsen_once(edges: DataFrame, vertices: DataFrame, turn: int = 0, loose: bo
     return vertices.select("id").join(only, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
-def contract(edges: DataFrame, vertices: DataFrame, leaders: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contract(edges: DataFrame, vertices: DataFrame, leaders: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph of the leaders; a leader keeps its own level, if vertices have one."""
     a = leaders.select(F.col("id").alias("u"), F.col("leader").alias("a"))
     b = leaders.select(F.col("id").alias("v"), F.col("leader").alias("b"))
-    e = edges.join(a, "u").join(b, "v").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    v = vertices.join(leaders, "id").groupBy("leader").agg(F.sum("w").alias("w"))
-    return e.select(F.col("a").alias("u"), F.col("b").alias("v"), "w"), v.select(F.col("leader").alias("id"), "w")
+    e = edges.join(_beside(a, n), "u").join(_beside(b, n), "v").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    level = [F.max(F.when(F.col("id") == F.col("leader"), F.col("level"))).alias("level")] if "level" in vertices.columns else []
+    v = vertices.join(leaders, "id").groupBy("leader").agg(F.sum("w").alias("w"), *level)
+    return e.select(F.col("a").alias("u"), F.col("b").alias("v"), "w"), v.withColumnRenamed("leader", "id")
 
 
 def _kahn(ids: list[int], out: dict[int, dict[int, float]], into: dict[int, dict[int, float]], gain) -> list[int]:
@@ -254,24 +259,32 @@ def _split(weight: dict[int, float], links: list[tuple[int, int, float]], k: int
     return out
 
 
-def refine_once(edges: DataFrame, vertices: DataFrame, parts: DataFrame, limit: float, turn: int = 0) -> DataFrame:
+def refine_once(edges: DataFrame, vertices: DataFrame, parts: DataFrame, limit: float, turn: int = 0, n: int | None = None) -> DataFrame:
     """One round of boundary moves on the cluster: (id, part), part numbers in topological order.
 
     A vertex may go to its neighbours' parts between the last of its predecessors
     and the first of its successors, which keeps the quotient acyclic. It goes
     where it gains most, if none of its neighbours moves in this round (the one
     with the greater gain does) and all that want to go there fit under ``limit``.
+    ``n`` is the number of vertices, if known.
     """
-    p = _labelled(edges, parts)
-    near = cut(p.select(F.col("u").alias("id"), F.col("pu").alias("own"), F.col("pv").alias("q"), "w", F.lit(1).alias("to")).union(p.select("v", "pv", "pu", "w", F.lit(0))))
-    span = near.groupBy("id", "own").agg(F.max(F.when(F.col("to") == 0, F.col("q"))).alias("lo"), F.min(F.when(F.col("to") == 1, F.col("q"))).alias("hi"))
-    tie = near.groupBy("id", "q").agg(F.sum("w").alias("w"))
-    inside = tie.join(span, "id").where("q = own").select("id", F.col("w").alias("keep"))
-    wish = tie.join(span, "id").where("q <> own AND (lo IS NULL OR q >= lo) AND (hi IS NULL OR q <= hi)").join(inside, "id", "left")
-    wish = wish.withColumn("gain", F.col("w") - F.coalesce("keep", F.lit(0.0))).where("gain > 0").groupBy("id").agg(F.max(F.struct("gain", "q")).alias("x")).select("id", "x.gain", "x.q")
+    p = _labelled(edges, parts, n)
+    end = lambda i, own, q, to: F.struct(F.col(i).alias("id"), F.col(own).alias("own"), F.col(q).alias("q"), "w", F.lit(to).alias("to"))
+    near = p.select(F.explode(F.array(end("u", "pu", "pv", 1), end("v", "pv", "pu", 0))).alias("x")).select("x.*")
+    # A row for each vertex and part beside it; the edges aren't written again.
+    tie = near.groupBy("id", "own", "q").agg(F.sum("w").alias("w"), F.min("to").alias("a"), F.max("to").alias("b"))
+    span = tie.groupBy("id", "own").agg(
+        F.max(F.when(F.col("a") == 0, F.col("q"))).alias("lo"),
+        F.min(F.when(F.col("b") == 1, F.col("q"))).alias("hi"),
+        F.sum(F.when(F.col("q") == F.col("own"), F.col("w")).otherwise(0.0)).alias("keep"),
+        F.collect_list(F.struct("q", "w")).alias("ties"),
+    )
+    may = F.expr("filter(ties, t -> t.q <> own AND (lo IS NULL OR t.q >= lo) AND (hi IS NULL OR t.q <= hi))")
+    best = F.array_max(F.transform(may, lambda t: F.struct((t["w"] - F.col("keep")).alias("gain"), t["q"].alias("q"))))
+    wish = span.select("id", best.alias("x")).where("x.gain > 0").select("id", "x.gain", "x.q")
     wish = cut(wish.withColumn("rank", F.struct("gain", F.xxhash64(F.lit(turn), "id"))))
     a, b = wish.select(F.col("id").alias("u"), F.col("rank").alias("ru")), wish.select(F.col("id").alias("v"), F.col("rank").alias("rv"))
-    both = edges.join(a, "u").join(b, "v")
+    both = edges.join(_beside(a, n), "u").join(_beside(b, n), "v")
     loser = both.select(F.when(F.col("ru") < F.col("rv"), F.col("u")).otherwise(F.col("v")).alias("id")).distinct()
     wish = cut(wish.join(loser, "id", "left_anti")).join(vertices.select("id", F.col("w").alias("vw")), "id")
     weight = part_weights(vertices, parts).select(F.col("part").alias("q"), F.col("w").alias("now"))
@@ -280,36 +293,47 @@ def refine_once(edges: DataFrame, vertices: DataFrame, parts: DataFrame, limit:
     return parts.join(move, "id", "left").select("id", F.coalesce("q", "part").alias("part"))
 
 
-def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int = 20_000, max_levels: int = 40, slack: float = 0.1, refinement: str = "fm", rounds: int = 1, max_weight: float | None = None) -> DataFrame:
+def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int = 20_000, max_levels: int = 40, slack: float = 0.1, refinement: str = "fm", rounds: int = 1, max_weight: float | None = None, stop_edges: int = 200_000) -> DataFrame:
     """(id, part) with ``k`` parts, or as many as ``max_weight`` asks for, whose quotient graph is acyclic.
 
     Parts are refined at each level on the way back. A graph that can't be
     coarsened to ``stop_size`` vertices isn't gathered on the driver: it is an error.
+    Below that it is coarsened as long as it has over ``stop_edges`` edges and gets
+    smaller; over ten times as many are an error, too.
     """
-    steps: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    steps: list[tuple[DataFrame, DataFrame, DataFrame, int]] = []
     e, v = cut(edges.groupBy("u", "v").agg(F.sum("w").alias("w"))), cut(vertices.select("id", F.col("w").cast("double").alias("w")))
-    n = v.count()
-    slow = 0
+    n, m = v.count(), e.count()
+    loose, stuck, before = False, 0, n
     for turn in range(max_levels):
-        if n <= stop_size:
+        if n <= stop_size and (m <= stop_edges or stuck >= 3):
             break
-        leaders = cut(coarsen_once(e, v, turn, slow >= 3))
-        ce, cv = (cut(x) for x in contract(e, v, leaders))
-        m = cv.count()
-        slow = slow + 1 if m > 0.9 * n else 0
-        if m < n:
-            steps.append((leaders, e, v))
-            e, v, n = ce, cv, m
-    if n > stop_size:
-        raise ValueError(f"{n} vertices are left after {max_levels} rounds of coarsening, more than {stop_size}")
+        if turn % 3 == 0:
+            # Three turns that leave over half of the vertices: few have a heaviest neighbour in common.
+            loose, before = loose or (turn > 0 and n > before / 2), n
+        siblings = loose or turn % 3 == 0
+        if siblings and "level" not in v.columns:
+            v = cut(v.join(top_levels(e, v), "id"))
+        leaders = cut(coarsen_once(e, v, turn, loose, 16 if loose and m > 10 * stop_edges else 4))
+        left = leaders.where("id = leader").count()
+        stuck = stuck + 1 if loose and left == n else 0
+        # A few funnels aren't worth a pass over all edges.
+        if left == n or (not siblings and left > 0.95 * n):
+            continue
+        ce, cv = contract(e, v if siblings else v.drop("level"), leaders, n)
+        steps.append((leaders, e, v, n))
+        e, v, n = cut(ce), cut(cv), left
+        m = e.count()
+    if n > stop_size or m > 10 * stop_edges:
+        raise ValueError(f"{n} vertices and {m} edges are left after {max_levels} rounds of coarsening, more than {stop_size} and {10 * stop_edges}")
     weight = {r.id: r.w for r in v.collect()}
     part = _split(weight, [(r.u, r.v, r.w) for r in e.collect()], k, slack, refinement, max_weight)
     out = edges.sparkSession.createDataFrame(list(part.items()), "id long, part int")
     limit = max_weight or (1 + slack) * sum(weight.values()) / k
-    for leaders, fe, fv in reversed(steps):
+    for leaders, fe, fv, n in reversed(steps):
         out = cut(leaders.join(out.withColumnRenamed("id", "leader"), "leader").select("id", "part"))
         for turn in range(rounds):
-            out = cut(refine_once(fe, fv, out, limit, turn))
+            out = cut(refine_once(fe, fv, out, limit, turn, n))
     return out
 
 

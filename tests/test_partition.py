@@ -72,6 +72,17 @@ def test_multilevel(spark, shape):
     assert all(part[a] <= part[b] for a, b, _ in e)
 
 
+def test_many_edges_are_coarsened_before_they_are_gathered(spark, monkeypatch):
+    # 120 vertices only, but all 3,600 edges of two layers, and orders that only their layer has in common.
+    e = [(i, 60 + j, float(1 + (7 * i + j) % 60)) for i in range(60) for j in range(60)]
+    seen, split = [], P._split
+    monkeypatch.setattr(P, "_split", lambda weight, links, *a: seen.append(len(links)) or split(weight, links, *a))
+    v = spark.range(120).withColumn("w", F.lit(1.0))
+    part = {r.id: r.part for r in P.acyclic_partition(spark.createDataFrame(e, "u long, v long, w double"), v, 2, stop_size=200, stop_edges=400).collect()}
+    assert seen[0] <= 400 and len(part) == 120 and set(part.values()) == {0, 1}
+    assert all(part[a] <= part[b] for a, b, _ in e)
+
+
 def test_too_large_to_gather_is_an_error(spark):
     e = spark.createDataFrame([(0, 1, 1.0)], "u long, v long, w double")
     with pytest.raises(ValueError):
