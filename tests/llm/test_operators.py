@@ -396,6 +396,19 @@ def test_passages_meet_without_a_common_hub(spark):
     assert {frozenset((r.doc_id, r.partner_id)) for r in rows} == {frozenset((0, 1)), frozenset((len(docs) - 1,))}
 
 
+def test_passages_of_texts_that_have_others_too(spark):
+    # Each pair shares a passage; its halves also stand in third texts, and each text has a whole passage with another one.
+    docs, pairs = [], []
+    for _ in range(12):
+        p, q, r = text(64), text(64), text(64)
+        pairs.append(frozenset((len(docs), len(docs) + 1)))
+        docs += [" ".join(text(60) + p + text(60) + o + text(20)) for o in (q, r)]
+        docs += [" ".join(text(20) + o + text(20)) for o in (q, r)]
+        docs += [" ".join(text(30) + p[k : k + 32] + text(30)) for k in (0, 16, 32) for _ in range(3)]
+    rows = substrings.repeated_passages(frame(spark, docs)).collect()
+    assert set(pairs) <= {frozenset((x.doc_id, x.partner_id)) for x in rows}
+
+
 def test_hot_seeds_are_salted(spark, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", 8)
     monkeypatch.setattr(substrings, "SAMPLE", 1)
