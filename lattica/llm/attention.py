@@ -83,6 +83,33 @@ def _tokenizer(path: str) -> tuple:
     return _TOKENIZERS[path]
 
 
+#: Words that a worker keeps the ids of (some 200 bytes each), and words that are encoded as one string.
+CACHED, JOINED = 200_000, 200
+
+
+def encode_words(tok, path: str, words: list[str]) -> list[bytes]:
+    """16-bit ids of each word with a blank before it.
+
+    Words are joined with blanks: the vocabulary splits there, and ids that begin a
+    word say where. Where a word has other white space (or places don't agree), its
+    group is encoded word by word.
+    """
+    starts = word_starts(path)
+    out: list[bytes] = []
+    for a in range(0, len(words), 100 * JOINED):
+        parts = [words[x : x + JOINED] for x in range(a, min(len(words), a + 100 * JOINED), JOINED)]
+        joined = [" " + " ".join(p) for p in parts]
+        for p, s, e in zip(parts, joined, tok.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint16)
+            cuts = [*(2 * np.flatnonzero(starts[ids])).tolist(), 2 * len(ids)]
+            if len(cuts) == len(p) + 1 and len(s.split()) == len(p):
+                flat = ids.tobytes()
+                out += [flat[b:c] for b, c in zip(cuts, cuts[1:])]
+            else:
+                out += [array("H", e.ids).tobytes() for e in tok.encode_batch_fast([" " + w for w in p], add_special_tokens=False)]
+    return out
+
+
 def encode_table(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with, in place of the text, ``ids``: 16-bit ids, the end id last."""
     from pyspark.sql import types as T
@@ -100,11 +127,10 @@ def encode_table(docs: DataFrame, text: str = "text", path: str | None = None) -
                 codes, offsets, vocab = lower_words(b.column(text))
                 words = vocab.to_pylist()
                 new = [w for w in words if w not in cache]
-                if len(cache) + len(new) > 900_000:
+                if len(cache) + len(new) > CACHED:
                     cache.clear()
                     new = words
-                for a in range(0, len(new), 20_000):
-                    cache.update((w, array("H", e.ids).tobytes()) for w, e in zip(new[a : a + 20_000], tok.encode_batch_fast([" " + w for w in new[a : a + 20_000]], add_special_tokens=False)))
+                cache.update(zip(new, encode_words(tok, path, new)))
                 parts = [cache[w] for w in words]
                 size = np.array([len(p) for p in parts], np.int64) // 2
                 flat = np.frombuffer(b"".join(parts), np.uint16)
@@ -154,49 +180,56 @@ def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
-    u, inv = np.unique(k, return_inverse=True)
-    return u, np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(c[order], first)
+
+
+#: Bytes of ids that are counted at a time, and counts that a task holds (16 bytes each, a few times that in a sort).
+COUNTED, HELD = 2 << 20, 1_000_000
+
+
+def counted(batches, path: str) -> Iterator:
+    """Arrow batches with ids -> batches of (kind, key, c), where keys may come again."""
+    import pyarrow as pa
+
+    starts = word_starts(path)
+    have: dict[int, list] = {0: [[], []], 1: [[], []]}
+    n = 0
+
+    def send():
+        for kind, (ks, cs) in have.items():
+            if ks:
+                k, c = _summed(ks, cs)
+                have[kind] = [[], []]
+                for a in range(0, len(k), 100_000):
+                    z = min(a + 100_000, len(k))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(z - a, kind, np.int32)), pa.array(k[a:z].view(np.int64)), pa.array(c[a:z])], names=["kind", "key", "c"])
+
+    for batch in batches:
+        for b in text_chunks(batch, "ids", COUNTED):
+            ids, at = _ids(b)
+            n += b.num_rows
+            pairs = np.concatenate([[END], ids[:-1]]).astype(np.uint32) << np.uint32(16) | ids
+            for kind, keys in ((0, word_keys(ids, starts)[0]), (1, pairs)):
+                k, c = np.unique(keys, return_counts=True)
+                have[kind][0].append(k.astype(np.uint64))
+                have[kind][1].append(c)
+            # Keys that come again are added up in the task, before the shuffle.
+            if sum(len(k) for k in have[0][0]) + sum(len(k) for k in have[1][0]) > HELD:
+                for kind in (0, 1):
+                    k, c = _summed(*have[kind])
+                    have[kind] = [[k], [c]]
+                if len(have[0][0][0]) + len(have[1][0][0]) > HELD // 2:
+                    yield from send()
+    yield from send()
+    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["kind", "key", "c"])
 
 
 def count_table(train: DataFrame, path: str) -> DataFrame:
     """(kind, key, c): words (0, hash), pairs of ids (1, before << 16 | id), documents (2, 0)."""
-
-    def part(batches) -> Iterator:
-        import pyarrow as pa
-
-        starts = word_starts(path)
-        have: dict[int, list] = {0: [[], []], 1: [[], []]}
-        n = 0
-
-        def send():
-            for kind, (ks, cs) in have.items():
-                if ks:
-                    k, c = _summed(ks, cs)
-                    have[kind] = [[], []]
-                    for a in range(0, len(k), 100_000):
-                        z = min(a + 100_000, len(k))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(z - a, kind, np.int32)), pa.array(k[a:z].view(np.int64)), pa.array(c[a:z])], names=["kind", "key", "c"])
-
-        for batch in batches:
-            for b in text_chunks(batch, "ids", 8 << 20):
-                ids, at = _ids(b)
-                n += b.num_rows
-                before = np.concatenate([[END], ids[:-1]]).astype(np.uint64)
-                words = word_keys(ids, starts)[0]
-                for kind, keys in ((0, words), (1, (before << np.uint64(16)) | ids.astype(np.uint64))):
-                    k, c = np.unique(keys, return_counts=True)
-                    have[kind][0].append(k)
-                    have[kind][1].append(c)
-                if sum(len(k) for k in have[0][0]) + sum(len(k) for k in have[1][0]) > 4_000_000:
-                    for kind in (0, 1):
-                        k, c = _summed(*have[kind])
-                        have[kind] = [[k], [c]]
-                    if len(have[0][0][0]) + len(have[1][0][0]) > 2_000_000:
-                        yield from send()
-        yield from send()
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["kind", "key", "c"])
-
-    return train.select("ids").mapInArrow(part, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+    return train.select("ids").mapInArrow(lambda batches: counted(batches, path), "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
 def symbols(id_counts: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -622,3 +622,40 @@ def test_attention_gradient():
     m.par, adam = before, {}
     losses = [m.step(x, y, adam) for _ in range(150)]
     assert losses[-1] < 0.6 * losses[0]
+
+
+def test_lm_workers_stay_small():
+    import tracemalloc
+
+    path = attention.vocabulary()
+    tok, cache = attention._tokenizer(path)
+    r = np.random.default_rng(5)
+    words = ["".join(w) for w in r.choice(list("abcdefghijklmnopqrstuvwxyz"), (attention.CACHED + 50_000, 7))]
+    odd = ["a\u00a0b", "\u2003x", "x\u3000", "<|endoftext|>", "\u0301e", "\x1cq", "d'", "'s", "\u0120a", "\u4e00\u4e8c", "\U0001f600!!", "12345"]
+    got = attention.encode_words(tok, path, words[:500] + odd + words[500:900])
+    assert got == [np.array(tok.encode(" " + w, add_special_tokens=False).ids, np.uint16).tobytes() for w in words[:500] + odd + words[500:900]]
+
+    class Docs:
+        schema = {}
+        columns = ["text"]
+
+        def mapInArrow(self, part, schema):  # noqa: N802
+            cache.clear()
+            for a in range(0, len(words), 50_000):
+                list(part([pa.RecordBatch.from_pydict({"text": [" ".join(words[a : a + 50_000])]})]))
+                assert len(cache) <= attention.CACHED
+
+    attention.encode_table(Docs(), path=path)
+    cache.clear()
+    # Many ids, nearly all pairs of them new.
+    ids = r.integers(0, attention.VOCAB, (40, 200_000)).astype(np.uint16)
+    batch = pa.RecordBatch.from_pydict({"ids": [x.tobytes() for x in ids]})
+    attention.word_starts(path)
+    tracemalloc.start()
+    n = {0: 0, 1: 0, 2: 0}
+    for b in attention.counted([batch], path):
+        n[b.column("kind")[0].as_py()] += int(b.column("c").to_numpy().sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n[1] == ids.size and n[2] == 40 and n[0] == sum(attention.word_starts(path)[x].sum() for x in ids)
+    assert peak < 150e6, peak
