@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import attention, components, decontamination, jaccard, language, mixing, quality, secrets, substrings, tokenization, toxicity
+from lattica.llm import attention, common, components, decontamination, jaccard, language, mixing, quality, secrets, substrings, tokenization, toxicity
 
 rnd = random.Random(9)
 VOCAB = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(2000)]
@@ -659,3 +659,27 @@ def test_lm_workers_stay_small():
     tracemalloc.stop()
     assert n[1] == ids.size and n[2] == 40 and n[0] == sum(attention.word_starts(path)[x].sum() for x in ids)
     assert peak < 150e6, peak
+
+
+def test_substrings_send_each_text_once_to_a_group(spark):
+    pairs = [(f, l, [[0, 9, 0, 9]]) for f in range(12) for l in range(f)] + [(f, 100, [[0, 9, 0, 9]]) for f in range(101, 1200)]
+    found = spark.createDataFrame(pairs, "f long, l long, spans array<array<int>>")
+    nodes = spark.createDataFrame([(i, i, 60) for i in range(1200)], "node long, id long, n long")
+    rows = substrings._blocks(found, nodes).collect()
+    assert sorted((r.f, r.l) for r in rows) == sorted(p[:2] for p in pairs)
+    # Twelve texts that all match each other go to one place; before, 77 texts were sent.
+    assert len({(r.g, r.block, n) for r in rows if r.f < 100 for n in (r.f, r.l)}) == 12
+    # A hub's many partners are dealt over blocks.
+    assert 3 <= len({(r.g, r.block) for r in rows if r.f > 100}) <= 5
+
+
+def test_materialize_frees_shuffles(spark):
+    import pathlib
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in pathlib.Path(d).rglob("shuffle_*.data")}
+    before, was = files(), spark.conf.get(common.CLEANUP)
+    t = common.materialize(spark.range(50_000).repartition("id").groupBy("id").count(), "freed", free=True)
+    assert not files() - before
+    assert t.count() == 50_000 and spark.conf.get(common.CLEANUP) == was
+    common.release(t)
