@@ -683,3 +683,24 @@ def test_materialize_frees_shuffles(spark):
     assert not files() - before
     assert t.count() == 50_000 and spark.conf.get(common.CLEANUP) == was
     common.release(t)
+
+
+def test_alignment_kernels_agree_with_plain_tables():
+    def table(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        t[:, 0], t[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i, j] = min(t[i - 1, j] + 1, t[i, j - 1] + 1, t[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        return t
+
+    r = np.random.default_rng(4)
+    for k in range(150):
+        a = r.integers(0, (2, 9, 300)[k % 3], r.integers(0, 40)).astype(np.uint64)
+        b = np.where(r.random(len(a)) < 0.2, r.integers(0, 300, len(a)), a).astype(np.uint64)
+        b = np.delete(np.insert(b, r.integers(0, len(b) + 1), 1), r.integers(0, len(b) + 1))
+        t = table(a, b)
+        assert substrings.edit_distance(a.tolist(), b.tolist()) == t[-1, -1]
+        score = (np.arange(len(a) + 1)[:, None] + np.arange(len(b) + 1)) / 2 - 3 * t
+        p, q = substrings._best_prefixes(a, b, 1 << 20)
+        assert score[p, q] == score.max()
