@@ -664,11 +664,14 @@ def test_lm_workers_stay_small():
 def test_substrings_send_each_text_once_to_a_group(spark):
     pairs = [(f, l, [[0, 9, 0, 9]]) for f in range(12) for l in range(f)] + [(f, 100, [[0, 9, 0, 9]]) for f in range(101, 1200)]
     found = spark.createDataFrame(pairs, "f long, l long, spans array<array<int>>")
-    nodes = spark.createDataFrame([(i, i, 60) for i in range(1200)], "node long, id long, n long")
+    node = lambda n: spark.createDataFrame([(i, i, n) for i in range(1200)], "node long, id long, n long")
+    nodes = node(60)
     rows = substrings._blocks(found, nodes).collect()
     assert sorted((r.f, r.l) for r in rows) == sorted(p[:2] for p in pairs)
     # Twelve texts that all match each other go to one place; before, 77 texts were sent.
     assert len({(r.g, r.block, n) for r in rows if r.f < 100 for n in (r.f, r.l)}) == 12
+    # Long hubs aren't kept beside each other.
+    assert all(r.g == r.l for r in substrings._blocks(found.where("f < 12"), node(substrings.LONG + 1)).collect())
     # A hub's many partners are dealt over blocks.
     assert 3 <= len({(r.g, r.block) for r in rows if r.f > 100}) <= 5
 
