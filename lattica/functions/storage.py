@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,25 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that a step doesn't carry all before it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet files in the checkpoint folder, until erase(); its shuffle files go at once."""
+    spark, free = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex[:12]}"
+    was = spark.conf.get(free, None)
+    spark.conf.set(free, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(free) if was is None else spark.conf.set(free, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def erase(table: DataFrame) -> None:
+    """Deletes a table of written()."""
+    spark = table.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

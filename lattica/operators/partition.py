@@ -3,7 +3,9 @@
 Metrics are joins and sums. The partitioner coarsens on the cluster, by
 contracting vertices whose levels rule out a cycle, until the graph is small
 (``stop_size`` vertices, ``stop_edges`` edges); bisection and refinement then work on that on the
-driver, and the parts are projected back by joins and refined at each level.
+driver, and the parts are projected back and refined at each level. Edges are packed in
+chunks and vertices are arrays; with more than ``BROADCAST_VERTICES`` vertices both are
+tables, and the steps are joins.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 import heapq
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import cut
-from lattica.operators.graph import _beside, _together, _union, top_levels
+from lattica.operators.graph import BROADCAST_VERTICES, _beside, _together, _union, top_levels
+from lattica.operators.packed import PackedGraph, packed_graph
 
 
 def _labelled(edges: DataFrame, parts: DataFrame, n: int | None = None) -> DataFrame:
@@ -293,6 +298,105 @@ def refine_once(edges: DataFrame, vertices: DataFrame, parts: DataFrame, limit:
     return parts.join(move, "id", "left").select("id", F.coalesce("q", "part").alias("part"))
 
 
+def _packed_siblings(heaviest: np.ndarray, level: np.ndarray, loose: bool, together: int) -> np.ndarray:
+    """Leaders as in coarsen_once(): of one level and heaviest neighbour (if ``loose``, of one level), in groups of even size."""
+    order = np.lexsort((heaviest, level))
+    new = level[order[1:]] != level[order[:-1]]
+    if not loose:
+        new |= heaviest[order[1:]] != heaviest[order[:-1]]
+    first = np.flatnonzero(np.concatenate([[True], new]))
+    size = np.diff(np.append(first, len(order)))
+    rank = np.arange(len(order)) - np.repeat(first, size)
+    slot = rank * np.repeat(-(-size // together), size) // np.repeat(size, size)
+    start = np.concatenate([[True], new | (slot[1:] != slot[:-1])])
+    leader = np.empty(len(order), np.int64)
+    leader[order] = np.repeat(np.minimum.reduceat(order, np.flatnonzero(start)), np.diff(np.append(np.flatnonzero(start), len(order))))
+    return leader
+
+
+def _packed_funnels(graph: PackedGraph, turn: int) -> np.ndarray:
+    one, other = graph.single(0 if turn % 3 == 1 else 1)
+    coin = lambda x: _mixed(x, turn) % np.uint64(2) == 0
+    take = coin(one) & ~coin(other)
+    leader = np.arange(graph.n)
+    leader[one[take]] = other[take]
+    return leader
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    h = (x.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
+def _refined(graph: PackedGraph, weight: np.ndarray, part: np.ndarray, limit: float, turn: int) -> np.ndarray:
+    """A round as in refine_once(); of those that want to go to a part, the ones that gain most do, as long as they fit."""
+    k = int(part.max()) + 1
+    ids, to, gain = graph.wishes(part, k)
+    rank = np.zeros(graph.n, np.int32)
+    rank[ids[np.lexsort((_mixed(ids, turn), gain))]] = np.arange(1, len(ids) + 1)
+    stay = np.zeros(graph.n, bool)
+    stay[graph.beaten(rank)] = True
+    some = np.flatnonzero(~stay[ids])
+    some = some[np.lexsort((-rank[ids[some]], to[some]))]
+    now = np.bincount(part, weights=weight, minlength=k)
+    part = part.copy()
+    for q in np.unique(to[some]).tolist():
+        mine = ids[some[to[some] == q]]
+        fit = now[q] + np.cumsum(weight[mine]) <= limit
+        part[mine[fit]] = q
+    return part
+
+
+def _packed_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int, turns: range, slack: float, refinement: str, rounds: int, max_weight: float | None, stop_edges: int) -> DataFrame:
+    """acyclic_partition() of up to ``BROADCAST_VERTICES`` vertices: labels on the driver, edges in packed chunks on the cluster."""
+    t = vertices.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")).toArrow()
+    ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
+    weight = t.column("w").to_numpy()[first]
+    graph, steps, made = packed_graph(edges, ids), [], []
+    made.append(graph)
+    level, loose, stuck, before, stale = None, False, 0, graph.n, True
+    try:
+        for turn in turns:
+            if graph.n <= stop_size and (graph.m <= stop_edges or stuck >= 3):
+                break
+            if turn % 3 == 0:
+                # Three turns that leave over half of the vertices: few have a heaviest neighbour in common.
+                loose, before = loose or (turn > 0 and graph.n > before / 2), graph.n
+            siblings = loose or turn % 3 == 0
+            if siblings:
+                # Levels from before a merge of funnels still go up along edges; where few share one, they are found again.
+                if level is None or (loose and stale):
+                    level, stale = graph.levels(), False
+                leader = _packed_siblings(graph.heaviest(), level, loose, 16 if loose and graph.m > 10 * stop_edges else 4)
+            else:
+                leader = _packed_funnels(graph, turn)
+            heads, to = np.unique(leader, return_inverse=True)
+            stuck = stuck + 1 if loose and len(heads) == graph.n else 0
+            # A few funnels aren't worth a pass over all edges.
+            if len(heads) == graph.n or (not siblings and len(heads) > 0.95 * graph.n):
+                continue
+            steps.append((graph, weight, to))
+            # A leader keeps its level: a funnel's vertex leads to, or comes from, its leader alone.
+            level, stale = None if level is None else level[heads], stale or not siblings
+            weight, graph = np.bincount(to, weights=weight), graph.contract(to, len(heads))
+            made.append(graph)
+        if graph.n > stop_size or graph.m > 10 * stop_edges:
+            raise ValueError(f"{graph.n} vertices and {graph.m} edges are left after {turns.stop} rounds of coarsening, more than {stop_size} and {10 * stop_edges}")
+        links = list(zip(*(x.tolist() for x in graph.edges())))
+        found = _split(dict(enumerate(weight.tolist())), links, k, slack, refinement, max_weight)
+        part = np.array([found[i] for i in range(graph.n)], np.int32)
+        limit = max_weight or (1 + slack) * float(weight.sum()) / k
+        for graph, weight, to in reversed(steps):
+            part = part[to]
+            for turn in range(rounds):
+                part = _refined(graph, weight, part, limit, turn)
+    finally:
+        for g in made:
+            g.erase()
+    return cut(edges.sparkSession.createDataFrame(pa.table({"id": ids, "part": part}), "id long, part int"))
+
+
 def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size: int = 20_000, max_levels: int = 40, slack: float = 0.1, refinement: str = "fm", rounds: int = 1, max_weight: float | None = None, stop_edges: int = 200_000) -> DataFrame:
     """(id, part) with ``k`` parts, or as many as ``max_weight`` asks for, whose quotient graph is acyclic.
 
@@ -300,36 +404,34 @@ def acyclic_partition(edges: DataFrame, vertices: DataFrame, k: int, stop_size:
     coarsened to ``stop_size`` vertices isn't gathered on the driver: it is an error.
     Below that it is coarsened as long as it has over ``stop_edges`` edges and gets
     smaller; over ten times as many are an error, too.
+
+    From ``BROADCAST_VERTICES`` vertices down, labels are arrays and edges are packed
+    chunks; larger graphs are coarsened to that size by joins.
     """
     steps: list[tuple[DataFrame, DataFrame, DataFrame, int]] = []
-    e, v = cut(edges.groupBy("u", "v").agg(F.sum("w").alias("w"))), cut(vertices.select("id", F.col("w").cast("double").alias("w")))
-    n, m = v.count(), e.count()
-    loose, stuck, before = False, 0, n
-    for turn in range(max_levels):
-        if n <= stop_size and (m <= stop_edges or stuck >= 3):
-            break
+    v = cut(vertices.select("id", F.col("w").cast("double").alias("w")))
+    n, turn = v.count(), 0
+    e = edges if n <= BROADCAST_VERTICES else cut(edges.groupBy("u", "v").agg(F.sum("w").alias("w")))
+    loose, before = False, n
+    while n > BROADCAST_VERTICES and turn < max_levels:
         if turn % 3 == 0:
-            # Three turns that leave over half of the vertices: few have a heaviest neighbour in common.
             loose, before = loose or (turn > 0 and n > before / 2), n
         siblings = loose or turn % 3 == 0
         if siblings and "level" not in v.columns:
             v = cut(v.join(top_levels(e, v), "id"))
-        leaders = cut(coarsen_once(e, v, turn, loose, 16 if loose and m > 10 * stop_edges else 4))
+        leaders = cut(coarsen_once(e, v, turn, loose))
         left = leaders.where("id = leader").count()
-        stuck = stuck + 1 if loose and left == n else 0
-        # A few funnels aren't worth a pass over all edges.
+        turn += 1
         if left == n or (not siblings and left > 0.95 * n):
             continue
         ce, cv = contract(e, v if siblings else v.drop("level"), leaders, n)
         steps.append((leaders, e, v, n))
         e, v, n = cut(ce), cut(cv), left
-        m = e.count()
-    if n > stop_size or m > 10 * stop_edges:
-        raise ValueError(f"{n} vertices and {m} edges are left after {max_levels} rounds of coarsening, more than {stop_size} and {10 * stop_edges}")
-    weight = {r.id: r.w for r in v.collect()}
-    part = _split(weight, [(r.u, r.v, r.w) for r in e.collect()], k, slack, refinement, max_weight)
-    out = edges.sparkSession.createDataFrame(list(part.items()), "id long, part int")
-    limit = max_weight or (1 + slack) * sum(weight.values()) / k
+    if n > BROADCAST_VERTICES:
+        raise ValueError(f"{n} vertices are left after {max_levels} rounds of coarsening, more than {stop_size}")
+    total = v.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0] if steps else 0.0
+    out = _packed_partition(e, v, k, stop_size, range(turn, max_levels), slack, refinement, rounds, max_weight, stop_edges)
+    limit = max_weight or (1 + slack) * total / k
     for leaders, fe, fv, n in reversed(steps):
         out = cut(leaders.join(out.withColumnRenamed("id", "leader"), "leader").select("id", "part"))
         for turn in range(rounds):

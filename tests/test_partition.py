@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import graph as G
 from lattica.operators import matrix as M
+from lattica.operators import packed as K
 from lattica.operators import partition as P
 from lattica.operators import solvers as S
 
@@ -89,6 +90,77 @@ def test_too_large_to_gather_is_an_error(spark):
         P.acyclic_partition(e, spark.range(50).withColumn("w", F.lit(1.0)), 2, stop_size=5, max_levels=1)
 
 
+def test_packed_passes(spark, monkeypatch):
+    # Chunks of some rows only, so a vertex of many edges is in several; doubled edges, a loop and an unknown vertex.
+    monkeypatch.setattr(K, "CHUNK", 16)
+    n = 30
+    e = dag(n, 0.1) + [(0, i, 2.0) for i in range(1, n)]
+    more = [*e, (3, 3, 9.0), (5, 999, 1.0)]
+    total = {}
+    for u, v, w in e:
+        total[u, v] = total.get((u, v), 0.0) + w
+    ids = np.arange(n, dtype=np.int64) * 10
+    g = K.packed_graph(spark.createDataFrame([(u * 10, v * 10, w) for u, v, w in more], "u long, v long, w double"), ids)
+    assert g.chunks.count() > 4 and g.m == len(total) and {(u, v): w for u, v, w in zip(*(x.tolist() for x in g.edges()))} == total
+    level = [0] * n
+    for u, v in sorted(total):
+        level[v] = max(level[v], level[u] + 1)
+    assert g.levels().tolist() == level
+    near = lambda i: [(-w, v if u == i else u) for (u, v), w in total.items() if i in (u, v)]
+    assert g.heaviest().tolist() == [min(near(i))[1] for i in range(n)]
+    for d in (0, 1):
+        ends = {i: [x[1 - d] for x in total if x[d] == i] for i in range(n)}
+        assert dict(zip(*(x.tolist() for x in g.single(d)))) == {i: x[0] for i, x in ends.items() if len(x) == 1}
+    to = np.array(level) // 2
+    small = {}
+    for (u, v), w in total.items():
+        if to[u] != to[v]:
+            small[to[u], to[v]] = small.get((to[u], to[v]), 0.0) + w
+    c = g.contract(to, to.max() + 1)
+    assert {(u, v): w for u, v, w in zip(*(x.tolist() for x in c.edges()))} == small
+    part, k = (np.array(level) * 3 // (max(level) + 1)).astype(np.int32), 3
+    wish = {}
+    for i in range(n):
+        lo, hi = max([part[u] for u, v in total if v == i], default=0), min([part[v] for u, v in total if u == i], default=k - 1)
+        tie = {q: sum(-w for w, j in near(i) if part[j] == q) for q in range(k)}
+        best = max(((tie[q] - tie[part[i]], q) for q in range(lo, hi + 1) if q != part[i]), default=(0, 0))
+        if best[0] > 0:
+            wish[i] = best[::-1]
+    assert {i: (q, x) for i, q, x in zip(*(x.tolist() for x in g.wishes(part, k)))} == wish and wish
+    cut = lambda p: sum(w for (u, v), w in total.items() if p[u] != p[v])
+    moved = P._refined(g, np.ones(n), part, 14.0, 0)
+    assert cut(moved) < cut(part) and all(moved[u] <= moved[v] for u, v in total)
+    assert all(a <= max(14, b) for a, b in zip(np.bincount(moved, minlength=k), np.bincount(part, minlength=k)))
+
+
+def test_a_cycle_is_an_error(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0)], "u long, v long, w double")
+    with pytest.raises(ValueError, match="cycle"):
+        P.acyclic_partition(e, spark.range(30).withColumn("w", F.lit(1.0)), 2, stop_size=5)
+
+
+def test_larger_graphs_are_coarsened_by_joins_first(spark, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_VERTICES", 40)
+    e = dag(60, 0.03)
+    part = {r.id: r.part for r in P.acyclic_partition(spark.createDataFrame(e, "u long, v long, w double"), spark.range(60).withColumn("w", F.lit(1.0)), 3, stop_size=20).collect()}
+    assert len(part) == 60 and set(part.values()) == {0, 1, 2} and all(part[a] <= part[b] for a, b, _ in e)
+
+
+def test_levels_of_coarsening_take_few_jobs(spark):
+    # Before edges were packed, these were 199 jobs.
+    e = [(i, j, float(1 + (7 * i + j) % 9)) for i in range(150) for j in range(150) if i // 50 < j // 50 and (3 * i + j) % 11 == 0]
+    e = spark.createDataFrame(e, "u long, v long, w double")
+    v = spark.range(150).withColumn("w", F.lit(1.0))
+    sc = spark.sparkContext
+    sc.setJobGroup("levels", "levels")
+    try:
+        P.acyclic_partition(e, v, 2, stop_size=12)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("levels"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 80
+
+
 @pytest.mark.parametrize("kind", ["level", "random", "priority", "mixed"])
 def test_topological_orders(spark, kind):
     e = dag(80, 0.05)
